@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm import code_origin, doc_pairs, source_syntax
+from srclens.llm import code_origin, doc_pairs, encoding, mixing, near_duplicates, set_joins, source_syntax
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_syntax.rates(files, _read(spark, sf_dir, "parse_failures"), source_syntax.failures(files))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(_read(spark, sf_dir, "clone_candidates"), _read(spark, sf_dir, "clone_limits"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_joins.similar_pairs(_read(spark, sf_dir, "symbols"), _read(spark, sf_dir, "catalog_symbols"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_pairs.pairs(_read(spark, sf_dir, "source_files")).select("file_id", "qualified_name")
 
@@ -40,5 +48,17 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_pairs.guided(_read(spark, sf_dir, "source_files"), _read(spark, sf_dir, "symbols"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(_read(spark, sf_dir, "documents"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*mixing.mixture(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_origins, p2_found, p2_rates, p5_found, p5_pairs)}
+    return {f.__name__: f for f in (p1_found, p1_origins, p2_found, p2_rates, p3_found, p4_found, p5_found, p5_pairs, p6_ids, p7_mix, p7_shares)}
