@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srclens.llm import code_origin, doc_pairs, encoding, mixing, near_duplicates, set_joins, source_syntax
+from srclens.llm import code_origin, doc_pairs, encoding, mixing, near_duplicates, set_joins, source_syntax, subjects
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,5 +60,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*mixing.mixture(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets")))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(*(_read(spark, sf_dir, t) for t in ("documents", "subjects", "subject_labels"))).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subjects.subjects_of(*(_read(spark, sf_dir, t) for t in ("documents", "subjects", "subject_labels")))
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("share").alias("share_of_documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_origins, p2_found, p2_rates, p3_found, p4_found, p5_found, p5_pairs, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_origins, p2_found, p2_rates, p3_found, p4_found, p5_found, p5_pairs, p6_ids, p7_mix, p7_shares, p8_found, p8_composition)}
