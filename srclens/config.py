@@ -14,12 +14,20 @@ class ConfigError(ValueError):
     """A configuration file that can't be read, or that has a key no section knows."""
 
 
+@dataclass
+class Project:
+    name: str = ""
+    description: str = ""
+
+
 @dataclass
 class Scan:
     include: list[str] = field(default_factory=list)
-    #: What is never worth scanning. A list in the file replaces this one.
-    exclude: list[str] = field(default_factory=lambda: ["**/target/**", "**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/vendor/**", "**/*.min.js", "**/*.lock"])
-    test_patterns: list[str] = field(default_factory=lambda: ["**/tests/**", "tests/**", "**/test/**", "**/benches/**", "benches/**", "**/*_test.rs", "**/test.rs", "**/tests.rs", "**/*_tests.rs"])
+    #: What is not scanned, and what is a test. A list in the file replaces the default.
+    exclude: list[str] = field(
+        default_factory=lambda: ["target/**", "**/target/**", "vendor/**", "worktrees/**", "node_modules/**", ".git/**", "**/*.lock", "LICENSE*", "**/LICENSE*"]
+    )
+    test_patterns: list[str] = field(default_factory=lambda: ["**/tests/**", "**/test.rs", "**/tests.rs", "**/*_test.rs", "**/*_tests.rs", "**/benches/**"])
     respect_gitignore: bool = True
     include_hidden: bool = False
     follow_symlinks: bool = False
@@ -31,24 +39,24 @@ class Thresholds:
     large_file_lines: int = 400
     huge_file_lines: int = 800
     long_function_lines: int = 60
-    complexity: int = 15
-    directory_files: int = 20
-    heavy_dependency: int = 20
-    comment_ratio: float = 0.05
-    duplicate_tokens: int = 50
-    duplicate_lines: int = 6
-    similarity: float = 0.85
+    high_complexity: int = 15
+    large_directory_files: int = 20
+    heavy_dependency_crates: int = 20
+    min_comment_ratio: float = 0.05
+    duplicate_min_tokens: int = 50
+    duplicate_min_lines: int = 6
+    duplicate_similarity: float = 0.85
 
 
 @dataclass
 class DeadCode:
     enabled: bool = True
-    tests_count_as_uses: bool = True
     ignore: list[str] = field(default_factory=lambda: ["main"])
+    tests_count_as_uses: bool = False
 
 
 @dataclass
-class ExtraSource:
+class ExtraRoot:
     path: str = ""
     editable: bool = False
 
@@ -56,10 +64,10 @@ class ExtraSource:
 @dataclass
 class Clones:
     enabled: bool = True
-    kinds: list[str] = field(default_factory=lambda: ["function", "impl", "trait", "closure", "match_arm", "if_chain", "block", "statements", "type_shape"])
-    include_tests: bool = True
     read_only: list[str] = field(default_factory=list)
-    extra_sources: list[ExtraSource] = field(default_factory=list)
+    extra_roots: list[ExtraRoot] = field(default_factory=list)
+    fragment_kinds: list[str] = field(default_factory=lambda: "function impl trait closure match_arm if_chain block statements type_shape".split())
+    include_tests: bool = True
     max_groups: int = 500
 
 
@@ -73,7 +81,8 @@ class Dependencies:
 @dataclass
 class Ui:
     start_view: str = "overview"
-    table_rows: int = 30
+    hide_tests: bool = False
+    table_rows: int = 20
     unicode: bool = True
 
 
@@ -86,7 +95,7 @@ class Note:
 
 @dataclass
 class Config:
-    name: str = ""
+    project: Project = field(default_factory=Project)
     scan: Scan = field(default_factory=Scan)
     thresholds: Thresholds = field(default_factory=Thresholds)
     dead_code: DeadCode = field(default_factory=DeadCode)
@@ -97,10 +106,10 @@ class Config:
 
     def display_name(self, root: str | Path) -> str:
         """The configured name, else that of the root's directory."""
-        return self.name or Path(root).name or "unnamed project"
+        return self.project.name or Path(root).name or "unnamed project"
 
 
-_LISTS = {("Config", "notes"): Note, ("Clones", "extra_sources"): ExtraSource}
+_LISTS = {("Config", "notes"): Note, ("Clones", "extra_roots"): ExtraRoot}
 
 
 def _fill(cls: type, data: Any, at: str) -> Any:

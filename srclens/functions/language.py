@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # Extension -> language, in the languages' rank order.
 EXTENSIONS = {
-    "rs": "rust", "toml": "toml", "md": "markdown", "markdown": "markdown", "yml": "yaml", "yaml": "yaml", "json": "json",
-    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
-    "py": "python", "sh": "shell", "bash": "shell", "zsh": "shell", "sql": "sql", "html": "html", "htm": "html", "css": "css",
-    "scss": "css", "c": "c", "h": "c", "cc": "c", "cpp": "c", "cxx": "c", "hpp": "c", "go": "go",
+    "rs": "rust", "toml": "toml", "md": "markdown", "markdown": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "sh": "shell", "bash": "shell", "zsh": "shell", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript", "tsx": "typescript", "html": "html", "htm": "html", "css": "css", "scss": "css", "sass": "css",
+    "py": "python", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "cxx": "c", "go": "go", "sql": "sql",
 }
 RANK = {name: n for n, name in enumerate([*dict.fromkeys(EXTENSIONS.values()), "other"])}
 # What begins a line comment, and pairs that enclose a block comment.
