@@ -22,7 +22,7 @@ COLUMNS = ("rule", "severity", "title", "detail", "suggestion", "file", "line",
 
 
 def severity_rank(column: str | Column = "severity") -> Column:
-    return F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), column)
+    return F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), F.col(column) if isinstance(column, str) else column)
 
 
 def _three(x: Column) -> Column:
@@ -131,7 +131,7 @@ def clone_rules(groups: DataFrame, t: Thresholds) -> list[DataFrame]:
 def ranked(parts: list[DataFrame]) -> DataFrame:
     """All findings with a total order: severity, metric downwards, then the place in which a rule found it."""
     every = reduce(DataFrame.unionByName, parts)
-    rank = F.array_position(F.array(*(F.lit(r) for r in RULES)), "rule")
+    rank = F.array_position(F.array(*(F.lit(r) for r in RULES)), F.col("rule"))
     return every.orderBy(severity_rank(), F.desc("metric"), rank, "seq", "title").select(*[c for c in COLUMNS if c != "seq"])
 
 
