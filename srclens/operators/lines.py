@@ -101,7 +101,7 @@ def _udf():
 
 def stateless_counts(language: Column, text: Column) -> Column:
     """Line counts of languages without block comments, on the JVM."""
-    rows = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n$", ""), "\n")
+    rows = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), r"\n\z", ""), "\n")
     rows = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(rows)
     trimmed = F.transform(rows, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     hashed = language.isin(*[x for x in ("toml", "yaml", "shell")])
