@@ -127,6 +127,8 @@ class RepoSource(DataSource):
 def scan(spark: SparkSession, root: str, options: Scan | None = None) -> DataFrame:
     """``source_files`` of a tree: path, language, size, text (null where too large or not UTF-8), whether it is a test."""
     o = options or Scan()
+    if not Path(root).is_dir():
+        raise ScanError(f"{root} is not a directory")
     spark.dataSource.register(RepoSource)
     df = (
         spark.read.format("repo")
