@@ -119,7 +119,7 @@ def origin(text: str) -> str:
         opaque = sum(len(s) for m in _STRING.findall(body) for s in m if s and " " not in s)
         if opaque > 0.5 * solid and opaque >= 300:
             return "data"
-        if len(body) >= 200 and len(body) - solid < 0.09 * len(body) and len(body) > 110 * len(lines):
+        if len(body) >= 200 and len(body) - solid < 0.12 * len(body) and len(body) > 110 * len(lines):
             return "minified"
     if digits > 0.01 * solid and numbered(lines):
         return "generated"

@@ -58,16 +58,40 @@ def check_json(text: str) -> tuple[int, str] | None:
     return None
 
 
+_JSON_TOKEN = re.compile(
+    r'[ \t\r\n]*(?:(?P<v>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![0-9.])|true|false|null)|(?P<p>[\[\]{}:,])|(?P<e>\Z))'
+)
+
+
 def _deep_json(text: str) -> tuple[int, str] | None:
-    """JSON nested deeper than the decoder goes: innermost arrays and objects are replaced by ``0`` until none is left."""
-    string = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
-    text = re.sub(string, '""', text)
-    text = re.sub(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null", "0", text)
-    text = re.sub(r"[ \t\r\n]+", "", text)
-    inner = re.compile(r'\[(?:(?:0|"")(?:,(?:0|""))*)?\]|\{(?:"":(?:0|"")(?:,"":(?:0|""))*)?\}')
-    while (new := inner.sub("0", text)) != text:
-        text = new
-    return None if text in ("0", '""') else (1, "not JSON")
+    """JSON nested deeper than the decoder goes: one pass with a stack of what is open."""
+    stack: list[str] = []
+    want, at = "value", 0  # value, first (value or end), key, first key, colon, after
+    while True:
+        m = _JSON_TOKEN.match(text, at)
+        if m is None:
+            return _line(text, at), "unexpected character"
+        kind, token = m.lastgroup, m.group(m.lastgroup)
+        if kind == "e":
+            return None if want == "after" and not stack else (_line(text, at), "unexpected end")
+        at = m.end()
+        if want in ("value", "first") and (kind == "v" or token in "[{"):
+            if kind == "v":
+                want = "after"
+            else:
+                stack.append(token)
+                want = "first" if token == "[" else "first key"
+        elif want in ("key", "first key") and kind == "v" and token[0] == '"':
+            want = "colon"
+        elif want == "colon" and token == ":":
+            want = "value"
+        elif want == "after" and token == "," and stack:
+            want = "value" if stack[-1] == "[" else "key"
+        elif token == "]" and stack and stack[-1] == "[" and want in ("after", "first") or token == "}" and stack and stack[-1] == "{" and want in ("after", "first key"):
+            stack.pop()
+            want = "after"
+        else:
+            return _line(text, m.start()), "unexpected token"
 
 
 def check_toml(text: str) -> tuple[int, str] | None:
