@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -17,3 +18,9 @@ def durable(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="srclens-checkpoint-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has at most ``most`` rows, which is counted; else as it is, to be joined by a shuffle
+    that the session's skew handling may split."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

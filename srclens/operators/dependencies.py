@@ -60,23 +60,29 @@ def direct(packages: DataFrame, edges: DataFrame) -> DataFrame:
 def exclusive_counts(packages: DataFrame, edges: DataFrame) -> DataFrame:
     """``id``, ``exclusive_count``: packages that nothing but this direct dependency brings in, itself among them.
 
-    One loop for all of them: states are (cut, node), and an edge into the cut is not taken.
+    Those are the packages that the dependency dominates: every way to them from a member goes through it. A package's
+    dominators are what all its users have in common, and itself if it is direct; this is iterated for all packages at
+    once, from "everything" (a user that isn't known yet is left out) down to the fixpoint. No pairs of starts are formed.
     """
-    cuts = direct(packages, edges).select(F.col("id").alias("cut"))
     members = packages.where("is_workspace_member").select(F.col("id").alias("node"))
-    # every cut starts at every member: both are entries of manifests, named by hand
-    start = cuts.join(F.broadcast(members), F.lit(True))
-    used = edges.select("from", "to").distinct()
-    new = durable(start.distinct())
-    seen = new
-    while not new.isEmpty():
-        step = new.withColumnRenamed("node", "from").join(used, "from").where("to <> cut").select("cut", F.col("to").alias("node")).distinct()
-        new = durable(step.join(seen, ["cut", "node"], "left_anti"))
-        seen = durable(seen.unionByName(new))
-    every = reachable(packages, edges).agg(F.count("*").alias("n"))
-    kept = seen.join(members, "node", "left_anti").groupBy("cut").agg(F.count("*").alias("kept"))
-    total = every.first()[0]
-    return cuts.join(kept, "cut", "left").select(F.col("cut").alias("id"), (F.lit(total) - F.coalesce("kept", F.lit(0))).cast("bigint").alias("exclusive_count"))
+    near = durable(direct(packages, edges).select(F.col("id").alias("node")))
+    used = durable(edges.select("from", "to").distinct().join(members.withColumnRenamed("node", "to"), "to", "left_anti"))
+    known = durable(members)
+    own = near.select("node", F.col("node").alias("d"))
+    dominated = durable(own.limit(0))
+    state: tuple = ()
+    while True:
+        step = used.join(known.withColumnRenamed("node", "from"), "from")
+        users = step.groupBy("to").agg(F.count("*").alias("n"))
+        common = step.join(dominated.withColumnRenamed("node", "from"), "from").groupBy("to", "d").agg(F.count("*").alias("c")).join(users, "to").where("c = n")
+        known = durable(members.unionByName(users.select(F.col("to").alias("node"))).distinct())
+        dominated = durable(common.select(F.col("to").alias("node"), "d").unionByName(own.join(known, "node", "left_semi")).distinct())
+        new = known.count(), *dominated.agg(F.count("*"), F.sum(F.xxhash64("node", "d").cast("decimal(38,0)"))).first()
+        if new == state:
+            break
+        state = new
+    counts = dominated.groupBy(F.col("d").alias("id")).agg(F.count("*").alias("exclusive_count"))
+    return near.select(F.col("node").alias("id")).join(counts, "id", "left").select("id", F.coalesce("exclusive_count", F.lit(0)).alias("exclusive_count"))
 
 
 def transitive_counts(packages: DataFrame, edges: DataFrame) -> DataFrame:
