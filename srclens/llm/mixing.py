@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from srclens.llm.encoding import count_tokens
-from srclens.operators.checkpoints import durable
+from srclens.operators.checkpoints import durable, small
 
 BITS = 10  # of the order that a level of the histogram tells apart
 LEVELS = 6
@@ -71,12 +71,12 @@ def _order(seed: int) -> Column:
 def sample(sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """``doc_id`` of the documents that are taken once more than their source's whole copies."""
     shift = BITS * LEVELS
-    drawn = durable(sizes.join(F.broadcast(plan.where("rest > 0").select("source", "rest", "squares")), "source").withColumn("rank", _order(seed)).select("doc_id", "source", "tokens", "rank", "rest"))
-    prefix = drawn.select("source").distinct().join(F.broadcast(plan.select("source", "rest")), "source").select("source", F.lit(0).cast("bigint").alias("prefix"), F.col("rest").alias("left"))
+    drawn = durable(sizes.join(small(plan.where("rest > 0").select("source", "rest", "squares")), "source").withColumn("rank", _order(seed)).select("doc_id", "source", "tokens", "rank", "rest"))
+    prefix = drawn.select("source").distinct().join(small(plan.select("source", "rest")), "source").select("source", F.lit(0).cast("bigint").alias("prefix"), F.col("rest").alias("left"))
     for _ in range(LEVELS):
         at, shift = shift, shift - BITS
         cells = (
-            drawn.drop("rest").join(F.broadcast(prefix), "source")
+            drawn.drop("rest").join(small(prefix), "source")
             .where(F.shiftright("rank", at) == F.col("prefix"))
             .groupBy("source", "left", F.shiftright("rank", shift).alias("cell"))
             .agg(F.sum("tokens").alias("tokens"))
@@ -90,7 +90,7 @@ def sample(sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
             )
         )
     # Ranks before the last cell are in; of the cell itself, documents of one and the same rank, those that bring the amount nearer.
-    placed = drawn.join(F.broadcast(prefix), "source")
+    placed = drawn.join(small(prefix), "source")
     edge = placed.where(F.col("rank") == F.col("prefix"))
     running = F.sum("tokens").over(Window.partitionBy("source").orderBy("doc_id"))
     return placed.where(F.col("rank") < F.col("prefix")).select("doc_id").unionByName(
@@ -103,7 +103,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     sizes = durable(sized(documents))
     plan = durable(allocation(sizes, targets, total))
     extra = sample(sizes, plan, seed).select("doc_id", F.lit(1).cast("bigint").alias("extra"))
-    rows = sizes.join(F.broadcast(plan.select("source", F.col("copies").alias("whole_copies"), "max_repeats")), "source").join(extra, "doc_id", "left")
+    rows = sizes.join(small(plan.select("source", F.col("copies").alias("whole_copies"), "max_repeats")), "source").join(extra, "doc_id", "left")
     copies = F.least(F.col("whole_copies") + F.coalesce("extra", F.lit(0)), F.col("max_repeats"))
     return rows.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0"), plan
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srclens.operators.checkpoints import durable
+from srclens.operators.checkpoints import durable, small
 from srclens.operators.components import connected_components
 
 HASHES = 128
@@ -116,7 +116,7 @@ def _prune(pairs: DataFrame) -> DataFrame:
 
 def representatives(records: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row for each multiset of tokens: ``rep``, ``fragment``, ``els``, ``size``, ``t``; and which record has which (``id``, ``rep``)."""
-    limit = limits.where("fragment is not null and similarity is not null").groupBy("fragment").agg(F.min("similarity").alias("t"))
+    limit = small(limits.where("fragment is not null and similarity is not null").groupBy("fragment").agg(F.min("similarity").alias("t")))
     rows = (
         records.where("candidate_id is not null and code is not null and fragment is not null")
         .select(F.col("candidate_id").alias("id"), "fragment", F.regexp_extract_all(F.lower("code"), F.lit("([a-z0-9_]+)"), F.lit(1)).alias("tokens"))
@@ -125,8 +125,8 @@ def representatives(records: DataFrame, limits: DataFrame) -> tuple[DataFrame, D
         .withColumn("content", F.md5(F.array_join("tokens", " ")))
     )
     groups = rows.groupBy("fragment", "content").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"))
-    reps = groups.join(F.broadcast(limit), "fragment").select("rep", "fragment", elements(F.col("tokens")).alias("els"), F.size("tokens").alias("size"), "t")
-    members = rows.select("id", "fragment", "content").distinct().join(groups.select("fragment", "content", "rep"), ["fragment", "content"]).join(F.broadcast(limit.select("fragment")), "fragment").select("id", "rep")
+    reps = groups.join(limit, "fragment").select("rep", "fragment", elements(F.col("tokens")).alias("els"), F.size("tokens").alias("size"), "t")
+    members = rows.select("id", "fragment", "content").distinct().join(groups.select("fragment", "content", "rep"), ["fragment", "content"]).join(limit.select("fragment"), "fragment", "left_semi").select("id", "rep")
     return reps, members
 
 
