@@ -132,17 +132,14 @@ def representatives(records: DataFrame, limits: DataFrame) -> tuple[DataFrame, D
 
 def _prefixes(reps: DataFrame) -> DataFrame:
     """``bucket`` (fragment and element), ``rep``, ``size``, ``t`` for the rarest elements of each representative."""
-    els = reps.select("rep", "fragment", "size", "t", F.explode("els").alias("el"))
-    frequency = els.groupBy("el").agg(F.count("*").alias("df")).where("df > 1")
+    els = reps.select("rep", F.explode("els").alias("el"))  # the widest table of all: nothing else travels with it
+    frequency = els.groupBy("el").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     # Elements that only one representative has come first in the order and pair it with nobody: they count, but have no bucket.
-    ranked = (
-        els.join(frequency, "el")
-        .groupBy("rep", "fragment", "size", "t")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "el"))).alias("shared"))
-    )
+    ranked = els.join(frequency, "el").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "el"))).alias("shared"))
     least = F.ceil(F.col("size") * F.col("t") / (2 - F.col("t")) - F.lit(1e-9))
     taken = F.greatest(F.col("size") - least + 1 - (F.col("size") - F.size("shared")), F.lit(0)).cast("int")
-    return ranked.select("rep", "size", "t", "fragment", F.explode(F.slice("shared", F.lit(1), taken)).alias("e")).select(
+    placed = ranked.join(reps.select("rep", "fragment", "size", "t"), "rep")
+    return placed.select("rep", "size", "t", "fragment", F.explode(F.slice("shared", F.lit(1), taken)).alias("e")).select(
         F.xxhash64("fragment", "e.el").alias("bucket"), "rep", "size", "t"
     )
 
