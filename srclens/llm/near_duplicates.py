@@ -177,8 +177,10 @@ def links(reps: DataFrame) -> DataFrame:
         return _verify(_prune(with_both.withColumn("jaccard", _jaccard())), sketched)
 
     # First, each bucket's members with its smallest.
-    heads = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = buckets.join(heads, "bucket").where("rep <> a").select("a", F.col("rep").alias("b"), "t").distinct()
+    low_size = F.col("t") / (2 - F.col("t")) - 1e-9
+    near = (F.col("size_a") >= low_size * F.col("size_b")) & (F.col("size_b") >= low_size * F.col("size_a"))
+    heads = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("h"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("h.rep").alias("a"), F.col("h.size").alias("size_a"))
+    stars = buckets.withColumnRenamed("size", "size_b").join(heads, "bucket").where("rep <> a").where(near).select("a", F.col("rep").alias("b"), "t").distinct()
     first = durable(pruned(stars))
     label = connected_components(first, "a", "b").select(F.col("id").alias("rep"), "component")
     # Then only what is still apart. A bucket all of whose members are in one component is done.
@@ -188,11 +190,10 @@ def links(reps: DataFrame) -> DataFrame:
     small = rest.where(F.col("n") <= BLOCK)
     left = small.select("bucket", F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"), "t")
     right = small.select("bucket", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    low_size = F.col("t") / (2 - F.col("t")) - 1e-9
     pairs = (
         left.join(right, "bucket")
         .where("a < b and component_a <> component_b")
-        .where((F.col("size_a") >= low_size * F.col("size_b")) & (F.col("size_b") >= low_size * F.col("size_a")))
+        .where(near)
         .select("a", "b", "t")
         .distinct()
     )
