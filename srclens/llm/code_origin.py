@@ -94,10 +94,8 @@ def numbered(lines: list[str]) -> bool:
         for stem in {(m[0], m[1]) for m in _NUMBERED.findall(line)}:
             families.setdefault(stem[0], set()).add(int(stem[1][:15]))
             holding[stem[0]] = holding.get(stem[0], 0) + 1
-    for stem, numbers in families.items():
-        if len(numbers) >= 8 and max(numbers) - min(numbers) < 1.5 * len(numbers) + 2 and holding[stem] >= 0.18 * len(lines):
-            return True
-    return False
+    running = [stem for stem, numbers in families.items() if len(numbers) >= 8 and max(numbers) - min(numbers) < 1.5 * len(numbers) + 2]
+    return bool(running) and sum(holding[stem] for stem in running) >= 0.18 * len(lines)
 
 
 def origin(text: str) -> str:

@@ -144,7 +144,7 @@ LIBRARY = "".join(f"pub fn library_function_{w}(value: u64) -> u64 {{\n    compu
 @pytest.mark.parametrize(("text", "origin"), [
     (HAND, ""), ("", ""), ("// Code generated by x 1.2. DO NOT EDIT.\n" + HAND, "generated"), ("/*\n * Automatisch erzeugt aus x, nicht von Hand ändern\n */\n" + HAND, "generated"), ('"""@generated by x"""\nx = 1\n', "generated"),
     ("// Not generated: edit freely.\n" + HAND, ""), ("// The generated half lives next door; this one is typed by hand.\n" + HAND, ""), (HAND + "// Code generated by x. DO NOT EDIT.\n", ""), ('let header = "// @generated, DO NOT EDIT";\n' + HAND, ""),
-    ("".join(f"pub const TABLE_{n:03}: u32 = {n * 7919};\n" for n in range(30)), "generated"), ("static B: [u8; 300] = [\n" + ("    12, 200, 7, 45, 99, 1,\n" * 50) + "];\n", "data"), ("static B: [u8; 6] = [12, 200, 7, 45, 99, 1];\n" + HAND, ""),
+    ("".join(f"pub const TABLE_{n:03}: u32 = {n * 7919};\n" for n in range(30)), "generated"), ("".join(f"pub fn get_{w}_{n}(m: &Raw) -> u64 {{\n    m.slot({n})\n}}\n" for w in ("one", "two") for n in range(12)), "generated"), ("static B: [u8; 300] = [\n" + ("    12, 200, 7, 45, 99, 1,\n" * 50) + "];\n", "data"), ("static B: [u8; 6] = [12, 200, 7, 45, 99, 1];\n" + HAND, ""),
     ('const X: &str = "' + "aGVsbG8gd29ybGQ" * 40 + '";\n', "data"), ("var a=1;function b(c){return c+a}" * 20, "minified"), (HAND + "    let x = " + " + ".join(["some_value"] * 60) + ";\n", ""),
 ])
 def test_origin_by_text(text, origin):
