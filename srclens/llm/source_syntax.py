@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from srclens.llm import ecmascript
 from srclens.rust import grammar, lexer
+from srclens.rust.measure import failure_line
 
 EXTENSIONS = ("rs", "py", "js", "json", "toml")
 warnings.filterwarnings("ignore", category=SyntaxWarning)
@@ -114,25 +115,35 @@ def parse_python(text: str) -> ast.Module | tuple[int, str]:
         return 1, str(e) or "nested too deep"
 
 
-def check_rust(toks: list[str]) -> tuple[int, str] | None:
+def check_rust(toks: list[str], text: str | None = None) -> tuple[int, str] | None:
+    """What makes a list of tokens invalid; the line is 0 without the ``text`` they are from."""
     classes = lexer.classes(toks)
     if "X" in classes:
         at = next(n for n, t in enumerate(toks) if lexer.classes([t]) == "X")
-        return _token_line(toks, at), "token that no rule allows: " + toks[at][:40]
+        return _token_line(text, at), "token that no rule allows: " + toks[at][:40]
     flat, bad = grammar.balance(classes)
     if bad >= 0:
-        return 0, "bracket without partner"
-    return None if grammar.items(flat, "items") else (0, "item or statement that the grammar doesn't allow")
+        seen = (n for n, t in enumerate(toks) if lexer.classes([t]))
+        return _token_line(text, next((n for k, n in enumerate(seen) if k == bad), len(toks))), "bracket without partner"
+    if grammar.items(flat, "items"):
+        return None
+    return failure_line(text, toks) if text else 0, "item or statement that the grammar doesn't allow"
 
 
-def _token_line(toks: list[str], at: int) -> int:
-    return 0
+def _token_line(text: str | None, at: int) -> int:
+    """Line of a token by its number; the last line for one past the end."""
+    if not text:
+        return 0
+    for n, m in enumerate(lexer._TOKEN.finditer(text)):
+        if n == at:
+            return _line(text, m.start(1))
+    return _line(text.rstrip(), len(text))
 
 
 def check(ext: str, text: str) -> tuple[int, str] | None:
     """Line (0: not known) and message of what makes a text invalid; None if it parses."""
     if ext == "rs":
-        return check_rust(lexer.tokens(text))
+        return check_rust(lexer.tokens(text), text)
     if ext == "py":
         got = parse_python(text)
         return got if isinstance(got, tuple) else None

@@ -32,6 +32,14 @@ def test_strict_json(text):
     assert source_syntax.check("json", text)
 
 
+@pytest.mark.parametrize(("ext", "text", "line"), [
+    ("rs", "fn a() {}\n\nfn b() { x) }\n", 3), ("rs", "fn a() {}\nlet x = 1;\nfn b() {}", 2), ("rs", "fn a() {\n\n", 1), ("rs", "fn a() {}\n// c\nfn b() { \u201cx\u201d }", 3), ("py", "x = 1\ny = (\n", 2),
+    ("js", "a;\nb c\n", 2), ("json", "{\n,}", 2), ("toml", "a = 1\nb =\n", 2),
+])
+def test_line_of_failure(ext, text, line):
+    assert source_syntax.check(ext, text)[0] == line
+
+
 def test_deep_and_long_texts_are_judged():
     assert source_syntax.check("json", "[" * 100_000 + "]" * 100_000) is None
     assert source_syntax.check("json", "1" * 10_000) is None
