@@ -34,18 +34,18 @@ def extract(inputs: DataFrame, kind: str, clones: Clones, t: Thresholds) -> Data
     wanted = frozenset(clones.fragment_kinds)
     tokens, lines = t.duplicate_min_tokens, t.duplicate_min_lines
 
-    def make(text: str) -> list[dict]:
+    def make(text: str, path: str) -> list[dict]:
         flat = units.Flat(text)
         if kind == "fragments":
             return units.fragments(flat, wanted, tokens, lines)
         if kind == "runs":
-            return units.runs(flat, tokens, lines) if "statements" in wanted else []
+            return units.runs(flat, tokens, lines, path) if "statements" in wanted else []
         return units.symbols(flat) if kind == "symbols" else units.nodes(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found = make(row["text"])
+                found = make(row["text"], row["path"])
                 if found:
                     extra = {"path": row["path"], "editable": row["editable"], "file_is_test": row["is_test_path"]}
                     yield pa.RecordBatch.from_pylist([extra | u for u in found], schema=schema)

@@ -70,6 +70,24 @@ def test_units():
     assert len(signature([1, 2, 3])) == 32 and len(bands(signature([]))) == 8
 
 
+def run_groups(spark, sources):
+    """Layer 2 alone: places (path, first line, last line) of each group."""
+    df = spark.createDataFrame([(p, t, False, True) for p, t in sources.items()], "path string, text string, is_test_path boolean, editable boolean")
+    found = detect.repeated_runs(detect.extract(df, "runs", Clones(), LIMITS)).collect()
+    return [sorted((u.path, u.start_line, u.end_line) for u in g.units) for g in found]
+
+
+SHORT = "".join(f"fn s{n}(a: u8) -> u8 {{ a + {n} }}\n" for n in range(6))
+
+
+def test_runs_at_file_edges(spark):
+    heads = run_groups(spark, {"a.rs": SHORT + "static A: u8 = 1;\n", "b.rs": SHORT + "enum B { C }\nconst D: u8 = 2;\n"})
+    assert [("a.rs", 1, 6), ("b.rs", 1, 6)] in heads
+    tails = run_groups(spark, {"a.rs": "static A: u8 = 1;\n" + SHORT, "b.rs": "enum B { C }\n" + SHORT})
+    assert [("a.rs", 2, 7), ("b.rs", 2, 7)] in tails
+    assert [("a.rs", 1, 6), ("b.rs", 1, 6)] in run_groups(spark, {"a.rs": SHORT, "b.rs": SHORT})
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("c",), ("type_alias",)], "k string")
     assert [r.n for r in df.select(label("k", LANGUAGES).alias("n")).collect()] == ["C/C++", "type alias"]
