@@ -93,21 +93,34 @@ def subtree_groups(fragments: DataFrame) -> DataFrame:
 
 
 def repeated_runs(runs: DataFrame) -> DataFrame:
-    """Layer 2: maximal repeats of sibling sequences.
+    """Layer 2: maximal repeats of sibling sequences and of single nodes.
 
-    A start whose shortest long enough run is unique repeats nothing longer either, so only repeated seeds keep their
-    longer runs. A run is maximal if its places differ in what stands before or after them; equal runs are grouped by one
-    hash of their shapes, so nothing is sorted globally.
+    A start whose shortest long enough run is unique, or always stands behind the same, has no maximal repeat, so only the
+    other seeds are extended. A run is maximal if its places differ in what stands before and after them; equal runs are
+    grouped by one hash of their shapes, so nothing is sorted globally.
     """
-    seeds = runs.where("seed").groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    starts = runs.where("seed").join(seeds, "run", "left_semi").select("path", "container", "child")
-    kept = durable(runs.join(starts, ["path", "container", "child"], "left_semi"))
-    maximal = kept.groupBy("run").agg(
-        F.count("*").alias("n"), (F.min("before") != F.max("before")).alias("left"), (F.min("after") != F.max("after")).alias("right")
-    ).where("n > 1 and left and right").select("run")
-    rows = kept.join(maximal, "run").withColumn("unit", _unit("child"))
-    return rows.groupBy("run").agg(F.array_sort(F.collect_set("unit")).alias("units"), classify(F.lit(False)).alias("kind"), (F.count_distinct("unit.sequence") > 1).alias("reordered")).where(F.size("units") > 1).select(
-        F.lit("statements").alias("fragment"), F.col("run").alias("shape"), "units", "kind", "reordered", F.lit(1.0).alias("similarity"), F.array(F.lit("suffix_array")).alias("detectors")
+    seeds = runs.select("path", F.explode("seeds").alias("s"))
+    kept = seeds.groupBy("s.run").agg(F.count("*").alias("n"), (F.min("s.before") != F.max("s.before")).alias("left")).where("n > 1 and left").select("run")
+    starts = seeds.withColumn("run", F.col("s.run")).join(kept, "run", "left_semi").groupBy("path").agg(F.collect_list("s").alias("seeds"))
+    schema = to_arrow_schema(_parse_datatype_string(units.EXTENDED))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = units.extend(**row)
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, schema=schema)
+
+    extended = durable(runs.select("path", "editable", "file_is_test", "least_lines", "segments").join(starts, "path").mapInArrow(extend, units.EXTENDED))
+    differ = lambda c: F.min(f"{c}_min") != F.max(f"{c}_max")
+    maximal = extended.groupBy("run").agg(
+        F.sum("n").alias("n"), differ("before").alias("left"), differ("after").alias("right"), differ("exact").alias("renamed"), differ("sequence").alias("reordered")
+    ).where("n > 1 and left and right").select("run", "renamed", "reordered")
+    kind = F.when(F.first("reordered"), "near_miss").when(F.first("renamed"), "renamed").otherwise("exact")
+    return extended.join(maximal, "run").groupBy("run").agg(
+        F.min_by("fragment", "path").alias("fragment"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("units")))).alias("units"), kind.alias("kind"), F.first("reordered").alias("reordered")
+    ).where(F.size("units") > 1).select(
+        "fragment", F.col("run").alias("shape"), "units", "kind", "reordered", F.lit(1.0).alias("similarity"), F.array(F.lit("suffix_array")).alias("detectors")
     )
 
 

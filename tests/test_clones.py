@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srclens.clones import detect
-from srclens.clones.units import Flat, bands, fragments, runs, signature, symbols
+from srclens.clones.units import Flat, bands, extend, fragments, runs, signature, symbols
 from srclens.config import Clones, Thresholds
 from srclens.functions.labels import LANGUAGES, label
 
@@ -88,6 +88,30 @@ def test_runs_at_file_edges(spark):
     assert [("a.rs", 1, 6), ("b.rs", 1, 6)] in run_groups(spark, {"a.rs": SHORT, "b.rs": SHORT})
 
 
+LETS = "".join(f"    let v{n} = w{n}.x(y{n}, {n});\n" for n in range(6))
+ARGUMENTS = "".join(f"        a{n} + {n} * b{n}.c(),\n" for n in range(6))
+MATCH = "match m {\n" + "".join(f"        {n} => o.p{n}(q, {n}),\n" for n in range(6)) + "    }"
+
+
+def test_run_kinds(spark):
+    lets = {"a.rs": f"fn f() {{\n    one();\n{LETS}    loop {{}}\n}}\n", "b.rs": f"fn g() {{\n    x += 1;\n{LETS}    return;\n}}\n"}
+    assert [("a.rs", 3, 8), ("b.rs", 3, 8)] in run_groups(spark, lets)
+    calls = {"a.rs": f"fn f() {{\n    one(\n        z,\n{ARGUMENTS}        7,\n    );\n}}\n", "b.rs": f"fn g() {{\n    x += two(\n        !z,\n{ARGUMENTS}        &k,\n    );\n}}\n"}
+    assert [("a.rs", 4, 9), ("b.rs", 4, 9)] in run_groups(spark, calls)
+    single = {"a.rs": f"fn f() {{\n    let k = {MATCH};\n}}\n", "b.rs": f"fn g() -> u8 {{\n    1 + {MATCH}?\n}}\n"}
+    assert [("a.rs", 2, 9), ("b.rs", 2, 9)] in run_groups(spark, single)
+    uses = "".join(f"use a{n}::b{n}::c{n}::d{n};\n" for n in range(9))
+    assert run_groups(spark, {"a.rs": uses + "fn f() {}\n", "b.rs": uses + "struct S;\n"}) == []
+
+
+def test_long_lists(spark):
+    table = f"static T: [u8; 400] = [\n{''.join(f'    {n},{chr(10)}' for n in range(400))}];\n"
+    (row,) = runs(Flat(table), 30, 4, "a.rs")
+    found = extend("a.rs", True, False, 4, row["segments"], row["seeds"])
+    longest = {f["n"]: [(u["start_line"], u["end_line"]) for u in f["units"]] for f in found}
+    assert longest[201] == [(2, 201), (202, 401)] and sum(len(f["units"]) for f in found) < 5000
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("c",), ("type_alias",)], "k string")
     assert [r.n for r in df.select(label("k", LANGUAGES).alias("n")).collect()] == ["C/C++", "type alias"]
