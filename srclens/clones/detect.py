@@ -20,7 +20,9 @@ from srclens.functions.similarity import dice_sets, estimated_jaccard, tree_simi
 from srclens.operators.checkpoints import durable
 from srclens.operators.components import connected_components
 
-BUCKET = 32  # up to here all members of a bucket are paired; larger ones pair neighbours
+BUCKET = 32  # up to here a bucket is paired by a join; larger ones block by block
+BLOCK = 256  # members of a bucket that are compared at once
+ANCHORS = 3
 #: Detectors and kinds of groups in rank order.
 DETECTORS = ("subtree", "suffix_array", "min_hash", "edit_distance")
 KINDS = ("exact", "renamed", "near_miss")
@@ -124,25 +126,41 @@ def repeated_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def lsh_pairs(fragments: DataFrame) -> DataFrame:
-    """Pairs of fragments (a, b as keys) that share a band of their MinHash values."""
-    rows = fragments.where(F.size("bands") > 0).select("key", "fragment", F.posexplode("bands").alias("band", "h"))
+def lsh_pairs(fragments: DataFrame, similarity: float = 0.0) -> DataFrame:
+    """All pairs of fragments (a, b as keys) that share a band of their MinHash values (C21) and aren't too unlike in size."""
+    rows = fragments.where(F.size("bands") > 0).select("key", "fragment", "shape", "tokens", "nodes", F.posexplode("bands").alias("band", "h"))
     bucket = ["fragment", "band", "h"]
     sized = rows.join(rows.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), bucket)
-    few = sized.where(F.col("n") <= BUCKET)
-    all_pairs = few.select(*bucket, F.col("key").alias("a")).join(few.select(*bucket, F.col("key").alias("b")), bucket).where("a < b").select("a", "b")
-    many = sized.where(F.col("n") > BUCKET)
-    near = many.select(F.col("key").alias("a"), F.lead("key").over(Window.partitionBy(*bucket).orderBy("key")).alias("b")).where("b is not null")
-    return all_pairs.unionByName(near).distinct()
+    few = sized.where(F.col("n") <= BUCKET).select(*bucket, "key")
+    all_pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), bucket).where("a < b").select("a", "b")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    spread = (
+        sized.where(F.col("n") > BUCKET).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "shape", "tokens", "nodes")
+    )
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf.own == pdf[x]].sort_values("key") for x in ("i", "j"))
+        same = pdf.i.iloc[0] == pdf.j.iloc[0]
+        keys, sizes, shapes = right.key.to_numpy(), right[["tokens", "nodes"]].to_numpy(), right["shape"].to_numpy()
+        out = []
+        for k, (key, shape, size) in enumerate(zip(left.key, left["shape"], left[["tokens", "nodes"]].to_numpy())):
+            near = (np.minimum(sizes, size) >= similarity * np.maximum(sizes, size)).all(axis=1) & (shapes != shape)
+            if same:
+                near[: k + 1] = False
+            out += [(min(key, x), max(key, x)) for x in keys[near]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="str" if not out else None)
+
+    many = spread.groupBy(*bucket, "i", "j").applyInPandas(compare, "a string, b string")
+    return all_pairs.unionByName(many).distinct()
 
 
 def confirm(pairs: DataFrame, fragments: DataFrame, similarity: float) -> DataFrame:
     """``a``, ``b``, ``similarity``, ``edit`` of the pairs that are alike enough; the cheap tests come first."""
-    cols = ("path", "start_line", "end_line", "shape", "tokens", "nodes", "bag", "sig", "labels", "lefts")
+    cols = ("shape", "tokens", "nodes", "bag", "sig", "labels", "lefts")
     side = lambda x: fragments.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("shape_a <> shape_b")
-    inside = "(start_line_a >= start_line_b and end_line_a <= end_line_b) or (start_line_b >= start_line_a and end_line_b <= end_line_a)"
-    both = both.where(f"path_a <> path_b or not ({inside})")
     near = lambda c: F.least(f"{c}_a", f"{c}_b") >= similarity * F.greatest(f"{c}_a", f"{c}_b")
     both = both.where(near("tokens") & near("nodes")).withColumn("dice", dice_sets("bag_a", "bag_b")).where(F.col("dice") >= similarity)
     small = (F.col("nodes_a") <= units.EDIT_NODES) & (F.col("nodes_b") <= units.EDIT_NODES)
@@ -161,11 +179,41 @@ def confirm(pairs: DataFrame, fragments: DataFrame, similarity: float) -> DataFr
     return large.unionByName(compared.withColumn("edit", F.lit(True)))
 
 
+def links(sure: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of representatives as pairs of their members, without those one of which lies in the other.
+
+    Members of different files always link, so where both sides are in ``ANCHORS`` files, each member is linked to one of
+    every anchor's file only: any two then share one, and the components are those of all pairs. Else all pairs are made.
+    """
+    firsts = members.groupBy("rep", "path").agg(F.min("key").alias("key"))
+    anchors = firsts.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("path"))).where(F.col("n") <= ANCHORS).select("key")
+    wide = firsts.groupBy("rep").agg((F.count("*") >= ANCHORS).alias("wide"))
+    flagged = members.join(wide, "rep").join(anchors.withColumn("anchor", F.lit(True)), "key", "left").withColumn("anchor", F.coalesce("anchor", F.lit(False)))
+    side = lambda x: flagged.select(F.col("rep").alias(f"rep_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("key", "path", "start_line", "end_line", "wide", "anchor")))
+    pairs = sure.withColumnRenamed("a", "rep_a").withColumnRenamed("b", "rep_b")
+
+    def joined(first: str, then: str, anchored: bool) -> DataFrame:
+        right = side(then).where(f"anchor_{then}") if anchored else side(then)
+        both = pairs.join(side(first), f"rep_{first}").join(right, f"rep_{then}")
+        return both.where("wide_a and wide_b" if anchored else "not (wide_a and wide_b)")
+
+    every = joined("a", "b", True).unionByName(joined("b", "a", True)).unionByName(joined("a", "b", False))
+    inside = "(start_line_a >= start_line_b and end_line_a <= end_line_b) or (start_line_b >= start_line_a and end_line_b <= end_line_a)"
+    return every.where(f"path_a <> path_b or not ({inside})").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "similarity", "edit").distinct()
+
+
 def near_misses(fragments: DataFrame, similarity: float) -> DataFrame:
-    """Layer 3: components of confirmed pairs (C19-C23); a group is as similar as its least similar confirmed pair."""
-    keyed = durable(fragments.withColumn("key", F.concat_ws("\x00", "path", F.lpad(F.col("node").cast("string"), 9, "0"))))
+    """Layer 3: components of confirmed pairs (C19-C23); a group is as similar as its least similar confirmed pair.
+
+    Fragments of one shape and token sequence are alike in all that is compared, so one of them stands for all.
+    """
+    keyed = fragments.withColumn("key", F.concat_ws("\x00", "path", F.lpad(F.col("node").cast("string"), 9, "0")))
+    alike = keyed.groupBy("fragment", "shape", "sequence").agg(F.min("key").alias("rep"))
+    keyed = durable(keyed.join(alike, ["fragment", "shape", "sequence"]))
+    reps = keyed.where("key = rep")
     # both branches of the confirmation read the pairs
-    sure = durable(confirm(durable(lsh_pairs(keyed)), keyed, similarity))
+    alike_enough = durable(confirm(durable(lsh_pairs(reps, similarity)), reps, similarity))
+    sure = durable(links(alike_enough, keyed.where(F.size("bands") > 0).select("key", "rep", "path", "start_line", "end_line")))
     parts = connected_components(sure, "a", "b")
     least = sure.join(parts.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.min("similarity").alias("similarity"), F.bool_or("edit").alias("edit"))
     rows = parts.withColumnRenamed("id", "key").join(keyed.select("key", "fragment", "shape", _unit()), "key")

@@ -112,6 +112,21 @@ def test_long_lists(spark):
     assert longest[201] == [(2, 201), (202, 401)] and sum(len(f["units"]) for f in found) < 5000
 
 
+def test_large_buckets(spark):
+    pairs = detect.lsh_pairs(spark.createDataFrame([(f"k{n:02}", "function", n, 100, 200, [7]) for n in range(40)], "key string, fragment string, shape bigint, tokens bigint, nodes bigint, bands array<bigint>"))
+    assert pairs.count() == 40 * 39 // 2
+    sources = {f"a{n:02}.rs": fn("near", *TEN) for n in range(34)} | {f"b{n}.rs": fn("near", *TEN[:5], "extra();", *TEN[5:]) for n in range(2)}
+    df = spark.createDataFrame([(p, t, False, True) for p, t in sources.items()], "path string, text string, is_test_path boolean, editable boolean")
+    (group,) = detect.near_misses(detect.extract(df, "fragments", Clones(), LIMITS), 0.85).collect()
+    assert sorted(u.path for u in group.units) == sorted(sources) and 0.85 <= group.similarity < 1
+
+
+def test_nested_members(spark):
+    members = spark.createDataFrame([("x1", "x", "f", 1, 20), ("y1", "y", "f", 2, 19), ("x2", "x", "g", 1, 20), ("y2", "y", "g", 2, 19)], "key string, rep string, path string, start_line bigint, end_line bigint")
+    sure = spark.createDataFrame([("x", "y", 0.9, True)], "a string, b string, similarity double, edit boolean")
+    assert sorted((r.a, r.b) for r in detect.links(sure, members).collect()) == [("x1", "y2"), ("x2", "y1")]
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("c",), ("type_alias",)], "k string")
     assert [r.n for r in df.select(label("k", LANGUAGES).alias("n")).collect()] == ["C/C++", "type alias"]
