@@ -42,6 +42,29 @@ def test_encoding_of_any_text(reference, encoder, text):
     assert list(encoder.encode([text])[0]) == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_encoding_of_long_words(reference, encoder):
+    random.seed(9)
+    letters = lambda n, chars: "".join(random.choice(chars) for _ in range(n))
+    names = "walk token process engine because always data".split()
+    texts = [
+        letters(20_000, "abcdefghijklmnopqrstuvwxyz"), letters(30_000, "+/ABCDEFGHIJabcdefghij0123456789"), letters(9_000, "日本語文字漢字中国人民大学"), "".join(random.choices(names, k=3000)),
+        "a" * 300_000, "abc" * 100_000, "-" * 70_001, " " * 20_000 + "x", ("ab" * 7 + "c") * 3001, letters(257, "ab"), letters(256, "ab"), "x" * 416, "x" * 417,
+    ]
+    for text in texts:
+        assert list(encoder.encode([text])[0]) == reference.encode(text, add_special_tokens=False).ids
+    for _ in range(60):
+        chars = random.choice(["ab", "abc", "-=", "the ", "日本é"])
+        text = (letters(random.randrange(1, 30), chars) * 150 + letters(random.randrange(500), chars))[:4000]
+        assert list(encoder.encode([text])[0]) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_windows_that_share_no_token(reference, monkeypatch):
+    """Chained windows, also where the settled tokens are needed again."""
+    monkeypatch.setattr(encoding.Encoder, "_join", lambda self, left, at, right, start: None)
+    text = "abcde" * 300 + "xyz" * 200
+    assert list(encoding.Encoder().encode([text])[0]) == reference.encode(text, add_special_tokens=False).ids
+
+
 def documents(spark, data):
     return spark.createDataFrame([(i, t, s, "x", 0) for i, t, s in data], "doc_id bigint, text string, source string, rank string, copies int")
 
