@@ -145,13 +145,17 @@ def test_trivial_documentation(name, doc, ok):
     assert doc_pairs.says_something(name, doc) is ok
 
 
+UPSTREAM = "upstream_id bigint, library string, relative_path string, text string, version string"
+LICENCE = "".join(f"// Clause {w} of a licence that nobody reads to its end.\n" for w in "abcdefghijklmnopqrstuvwxyz" * 3)
 HAND = "use a::b;\n\nfn walk_over_everything(first: u64) -> u64 {\n    let total = first + 1;\n    total\n}\n"
 LIBRARY = "".join(f"pub fn library_function_{w}(value: u64) -> u64 {{\n    compute_the_{w}(value) + offset_of_{w}\n}}\n" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split())
 
 
 @pytest.mark.parametrize(("text", "origin"), [
     (HAND, ""), ("", ""), ("// Code generated by x 1.2. DO NOT EDIT.\n" + HAND, "generated"), ("/*\n * Automatisch erzeugt aus x, nicht von Hand ändern\n */\n" + HAND, "generated"), ('"""@generated by x"""\nx = 1\n', "generated"),
-    ("// Not generated: edit freely.\n" + HAND, ""), ("// The generated half lives next door; this one is typed by hand.\n" + HAND, ""), (HAND + "// Code generated by x. DO NOT EDIT.\n", ""), ('let header = "// @generated, DO NOT EDIT";\n' + HAND, ""),
+    (LICENCE + "// @generated by x. DO NOT EDIT.\n" + HAND, "generated"), ("#![allow(dead_code)]\n" + LICENCE + "#![no_std]\n// Code generated by x.\n" + HAND, "generated"), ("// Generated from the schema next door\n" + HAND, "generated"),
+    ("// This parser is not generated by a tool.\n" + HAND, ""), ("// Code generated by x is elsewhere, this is written by hand.\n" + HAND, ""), ("// Don\'t change before the release is out\n" + HAND, ""),
+    ("".join(f"const ID_{10**20 + n * 10**19}: u8 = 1;\n" for n in range(9)) + HAND * 9, ""), (HAND + "// Code generated by x. DO NOT EDIT.\n", ""), ('let header = "// @generated, DO NOT EDIT";\n' + HAND, ""),
     ("".join(f"pub const TABLE_{n:03}: u32 = {n * 7919};\n" for n in range(30)), "generated"), ("".join(f"pub fn get_{w}_{n}(m: &Raw) -> u64 {{\n    m.slot({n})\n}}\n" for w in ("one", "two") for n in range(12)), "generated"), ("static B: [u8; 300] = [\n" + ("    12, 200, 7, 45, 99, 1,\n" * 50) + "];\n", "data"), ("static B: [u8; 6] = [12, 200, 7, 45, 99, 1];\n" + HAND, ""),
     ('const X: &str = "' + "aGVsbG8gd29ybGQ" * 40 + '";\n', "data"), ("var a=1;function b(c){return c+a}" * 20, "minified"), (HAND + "    let x = " + " + ".join(["some_value"] * 60) + ";\n", ""),
 ])
@@ -175,9 +179,33 @@ def test_vendored(spark):
 
 
 def test_shared_subtrees(spark):
+    """A directory that two repositories have is found by its hash alone: names below it count, its own doesn't, nor do files without code."""
     own = lambda w: HAND.replace("walk", w)
-    data = [("one", "x/lib/a.rs", own("aa")), ("one", "x/lib/sub/b.rs", own("bb")), ("two", "other/a1.rs", own("aa")), ("two", "other/sub/b1.rs", own("bb")), ("one", "x/c.rs", own("cc")), ("two", "d.rs", own("dd"))]
+    data = [
+        ("one", "x/lib/a.rs", own("aa")), ("one", "x/lib/sub/b.rs", own("bb")), ("two", "other/a.rs", "// licence\n" + own("aa")), ("two", "other/sub/b.rs", own("bb")), ("two", "other/notes.py", "# only a comment\n"),
+        ("one", "x/c.rs", own("cc")), ("two", "d.rs", own("dd")), ("one", "e/a.rs", own("ee")), ("one", "e/b.rs", own("ff")), ("two", "g/a1.rs", own("ee")), ("two", "g/b1.rs", own("ff")),
+        ("one", "h/a.py", "# one\n"), ("one", "h/b.py", "# two\n"), ("two", "h/a.py", "# one\n"), ("two", "h/b.py", "# two\n"),
+    ]
     assert _origins(spark, data) == {1: "vendored", 2: "vendored", 3: "vendored", 4: "vendored"}
+    found = code_origin.evidence(files(spark, *data), spark.createDataFrame([], "file_id bigint, editable boolean"), spark.createDataFrame([], UPSTREAM))
+    assert {r.evidence for r in found.collect()} == {"directory"}
+
+
+def test_subtrees_of_versions(spark):
+    """A directory of one version of a library, of files too short to tell by themselves."""
+    short = lambda w: f"pub fn {w}(value: u64) -> u64 {{\n    value\n}}\n"
+    upstream = [(n, "lib", f"src/{f}.rs", short(f"{f}_of_version_{v}"), v) for n, (f, v) in enumerate([("a", "1"), ("b", "1"), ("a", "2"), ("b", "2"), ("c", "2")])]
+    data = [("r", "mine/a.rs", short("a_of_version_1")), ("r", "mine/b.rs", short("b_of_version_1")), ("r", "other/a.rs", short("a_of_version_1")), ("r", "other/b.rs", short("b_of_version_2"))]
+    given = spark.createDataFrame([], "file_id bigint, editable boolean")
+    found = code_origin.not_hand_written(files(spark, *data), given, table(spark, UPSTREAM, *upstream))
+    assert rows(found, "file_id", "origin") == [(1, "vendored"), (2, "vendored")]
+
+
+def test_one_block_in_many_files(spark):
+    """A line that 30,000 files and every library have makes no copy, and meets no partner."""
+    many = spark.range(30_000).selectExpr("id file_id", "'r' repo", "concat('a/', id, '.py') relative_path", "concat('from common_library_name import everything_of_it\n', 'value_of_this_file_only = ', id, '\n') text")
+    upstream = [(n, f"lib{n % 3}", f"u{n}.py", "from common_library_name import everything_of_it\n" + "".join(f"library_value_{n}_{k} = compute({k})\n" for k in range(9)), "1") for n in range(40)]
+    assert code_origin.not_hand_written(many, spark.createDataFrame([], "file_id bigint, editable boolean"), table(spark, UPSTREAM, *upstream)).count() == 0
 
 
 def test_empty_tables(spark):
