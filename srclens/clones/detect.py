@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from srclens.clones import units
 from srclens.config import Clones, Thresholds
+from srclens.functions.deep import deep
 from srclens.functions.hashing import hash_text, mix
 from srclens.functions.similarity import dice_sets, estimated_jaccard, tree_similarity
 from srclens.operators.checkpoints import durable
@@ -47,7 +48,7 @@ def extract(inputs: DataFrame, kind: str, clones: Clones, t: Thresholds) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found = make(row["text"], row["path"])
+                found = deep(make, row["text"], row["path"])
                 if found:
                     extra = {"path": row["path"], "editable": row["editable"], "file_is_test": row["is_test_path"]}
                     yield pa.RecordBatch.from_pylist([extra | u for u in found], schema=schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder and read from there, so that a lost executor costs no recomputation.
 
-    The folder is the session's (``spark.checkpoint.dir`` or what was set on its context); only where there is none, as in
-    tests on one machine, a temporary one is made.
+    The folder is the session's (``spark.checkpoint.dir`` or what was set on its context). Without one, a session on a single
+    machine (``local[n]``) gets a temporary one; a cluster is refused, as its executors share no such folder.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="srclens-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="srclens-checkpoint-"))
     return df.checkpoint()
 
 

@@ -136,7 +136,7 @@ def file_lines(files: DataFrame, key: str, language: str = "language", text: str
 
 def todo_markers(text: str | Column) -> Column:
     """Lines that begin like a comment and name unfinished work."""
-    rows = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x).rlike(r"^(//|\*)") & x.rlike("TODO|FIXME|HACK|XXX"))
+    rows = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)^\s*(//|\*)") & x.rlike("TODO|FIXME|HACK|XXX"))
     return F.coalesce(F.size(rows), F.lit(0))
 
 

@@ -98,7 +98,7 @@ def accepts(role: str, content: str) -> bool:
         p = Parser(content)
         getattr(p, "g_" + role)()
         return p.i == p.n
-    except (Fail, RecursionError):
+    except Fail:
         return False
 
 
@@ -109,7 +109,7 @@ def _remembered(key: str, f) -> int:
             _pieces.clear()
         try:
             v = f()
-        except (Fail, RecursionError):
+        except Fail:
             v = 0
         _pieces[key] = v
     return v
@@ -179,6 +179,7 @@ class Parser:
         self.s = s + "\0"
         self.n = len(s)
         self.i = 0
+        self.angles: dict[tuple[int, int], int] = {}
 
     # -- helpers
     def eat(self, c: str) -> bool:
@@ -400,7 +401,22 @@ class Parser:
             self.i += 1
 
     def angle(self) -> None:
-        """Generic arguments, after their ``<``."""
+        """Generic arguments, after their ``<``; what begins at a place is read once, as nested arguments are tried twice."""
+        key = (self.i, self.n)
+        end = self.angles.get(key)
+        if end is None:
+            try:
+                self.arguments()
+                end = self.i
+            except Fail:
+                end = -1
+            # ``<<`` and ``>>`` that were told apart meanwhile have moved what follows
+            self.angles[key] = self.angles[key[0], self.n] = end
+        if end < 0:
+            raise Fail
+        self.i = end
+
+    def arguments(self) -> None:
         while self.s[self.i] != ">":
             c = self.s[self.i]
             if c == "L":

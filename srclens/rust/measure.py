@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from srclens.functions.deep import deep
 from srclens.rust import grammar, lexer
 from srclens.rust.tree import Node, Source
 
@@ -379,6 +380,11 @@ def todo_markers(text: str) -> int:
 
 
 def analyze(text: str) -> tuple[dict | None, tuple[int, str] | None]:
+    """What is measured in a text, or why it can't be: the line and a message."""
+    return deep(_analyze, text)
+
+
+def _analyze(text: str) -> tuple[dict | None, tuple[int, str] | None]:
     toks = lexer.tokens(text)
     if not grammar.parses(lexer.classes(toks)):
         return None, (failure_line(text, toks), "the file is not valid Rust")

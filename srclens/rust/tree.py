@@ -188,7 +188,7 @@ class _Builder:
                 node = self.item()
                 if self.i > end:
                     raise _Stop
-            except (_Stop, RecursionError):
+            except _Stop:
                 node = self.error(start, end)
             node.attrs = own
             kids.append(node)
@@ -382,7 +382,7 @@ class _Builder:
                 node = one()
                 if self.i > end or self.i == at:
                     raise _Stop
-            except (_Stop, RecursionError):
+            except _Stop:
                 self.i = at
                 while self.i < end and self.t[self.i] != ",":
                     self.i = self.close[self.i] + 1 if self.i in self.close else self.i + 1
@@ -1163,7 +1163,7 @@ class _Builder:
                 node = self.statement(end)
                 if self.i > end or self.i == at:
                     raise _Stop
-            except (_Stop, RecursionError):
+            except _Stop:
                 self.i = at
                 node = self.error(at, end)
             node.attrs = own

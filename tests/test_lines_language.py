@@ -4,13 +4,12 @@ from srclens.functions.language import comment_ratio, language
 from srclens.operators import lines as L
 
 CASES = [
-    ("rust", "fn a() {}", (1, 1, 0, 0)), ("rust", "fn a() {}\n", (1, 1, 0, 0)), ("rust", "", (0, 0, 0, 0)),
-    ("rust", "// c\nfn main() {\n\n  run();\n}\n", (5, 3, 1, 1)), ("rust", "run(); // go\n", (1, 1, 0, 0)),
-    ("rust", "/*\n * hello\n */\nfn a() {}\n", (4, 1, 3, 0)), ("rust", "/*\n\n*/\n", (3, 0, 3, 0)),
-    ("rust", "/* note */ run();\n", (1, 1, 0, 0)), ("rust", "run(); /* note\nstill note */\n", (2, 1, 1, 0)),
-    ("rust", 'let s = "/*";\nrun();\n', (2, 2, 0, 0)), ("rust", 'let s = "\\"/*";\nrun();\n', (2, 2, 0, 0)),
-    ("json", '{\n"a": 1\n}\n', (3, 3, 0, 0)), ("toml", "# c\na = 1\n\n", (3, 1, 1, 1)), ("sql", "-- c\nselect 1\n", (2, 1, 1, 0)),
-    ("html", "<!-- c -->\n<p>\n", (2, 1, 1, 0)), ("python", '"""\ndoc\n"""\nx = 1\n', (4, 1, 3, 0)), ("markdown", "é\n<!-- note -->", (2, 1, 1, 0)),
+    ("rust", "", (0, 0, 0, 0)), ("rust", "\n", (1, 0, 0, 1)), ("rust", "mod kept;", (1, 1, 0, 0)), ("rust", "mod kept;\n\t\n//\n", (3, 1, 1, 1)),
+    ("rust", "use a;\t//! tail\n\t// head\n", (2, 1, 1, 0)), ("rust", "/** one\n\n\ttwo */\nmod m;\n", (4, 1, 3, 0)), ("rust", "/*\n/* inner */\nouter */ mod m;\n", (3, 1, 2, 0)),
+    ("rust", "\t/* a */ /* b */ mod m;\n", (1, 1, 0, 0)), ("rust", "mod m; /* opens\n\n", (2, 1, 1, 0)), ("rust", "mod m; /* x */ // y\n", (1, 1, 0, 0)),
+    ("rust", 'const OPEN: &str = "text /* text";\nmod m;\n', (2, 2, 0, 0)), ("rust", 'const Q: &str = "a\\"b /*";\n// c\n', (2, 1, 1, 0)),
+    ("json", '[\n  1\n]\n', (3, 3, 0, 0)), ("toml", "\t# head\nkey = 2\n \n", (3, 1, 1, 1)), ("sql", "select 2\n-- tail\n", (2, 1, 1, 0)),
+    ("html", "<b>\n<!-- x\ny -->\n", (3, 1, 2, 0)), ("python", "x = 2\n'''\ntext\n'''\n", (4, 1, 3, 0)), ("markdown", "ü\n<!-- hidden -->", (2, 1, 1, 0)),
 ]
 
 
@@ -32,9 +31,9 @@ def test_spark_counts_agree_with_the_fold(spark):
 
 
 def test_file_lines_and_markers(spark):
-    df = spark.createDataFrame([(1, "rust", "// TODO a\n x // TODO\n* FIXME\n")], "id bigint, language string, text string")
-    assert [(r.line_no, r.kind) for r in L.file_lines(df, "id").orderBy("line_no").collect()] == [(1, "comment"), (2, "code"), (3, "code")]
-    assert df.select(L.todo_markers("text").alias("n")).first().n == 2
+    df = spark.createDataFrame([(1, "rust", "// TODO a\n x // TODO\n* FIXME\n\t// HACK\n\u3000* XXX\n")], "id bigint, language string, text string")
+    assert [(r.line_no, r.kind) for r in L.file_lines(df, "id").orderBy("line_no").collect()] == [(1, "comment"), (2, "code"), (3, "code"), (4, "comment"), (5, "code")]
+    assert df.select(L.todo_markers("text").alias("n")).first().n == 4
 
 
 def test_language_by_name(spark):
