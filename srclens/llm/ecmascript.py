@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from srclens.functions.deep import deep
+
 # Words that cannot be identifiers in module code.
 RESERVED = frozenset(
     "await break case catch class const continue debugger default delete do else enum export extends false finally for "
@@ -960,12 +962,9 @@ _STATEMENTS = {
 
 
 def parse(text: str) -> Tokens:
-    """Tokens of a text that is a module; raises ``Bad`` with the offset otherwise (``RecursionError`` counts as such)."""
+    """Tokens of a text that is a module, nested however deep; raises ``Bad`` with the offset otherwise."""
     t = scan(text.removeprefix("﻿"))
-    try:
-        Parser(t).module()
-    except RecursionError:
-        raise Bad(0) from None
+    deep(lambda: Parser(t).module())
     return t
 
 

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from srclens.functions.deep import deep
 from srclens.llm import ecmascript
 from srclens.rust import grammar, lexer
 from srclens.rust.measure import failure_line
@@ -97,12 +98,12 @@ def _deep_json(text: str) -> tuple[int, str] | None:
 
 def check_toml(text: str) -> tuple[int, str] | None:
     try:
-        tomllib.loads(text)
+        deep(tomllib.loads, text)
     except tomllib.TOMLDecodeError as e:
         m = re.search(r"at line (\d+)", str(e))
         return int(m.group(1)) if m else 1, str(e)
-    except (RecursionError, ValueError) as e:
-        return 1, str(e) or "nested too deep"
+    except ValueError as e:
+        return 1, str(e)
     return None
 
 
@@ -111,8 +112,10 @@ def parse_python(text: str) -> ast.Module | tuple[int, str]:
         return ast.parse(text)
     except SyntaxError as e:
         return e.lineno or 1, e.msg or "invalid syntax"
-    except (ValueError, RecursionError, MemoryError) as e:
-        return 1, str(e) or "nested too deep"
+    except RecursionError:
+        return ast.Module([], [])  # the text was accepted, only its tree is too deep to be handed out
+    except (ValueError, MemoryError) as e:
+        return 1, str(e)  # null bytes, and what is nested beyond the language's own parser
 
 
 def check_rust(toks: list[str], text: str | None = None) -> tuple[int, str] | None:
@@ -121,13 +124,13 @@ def check_rust(toks: list[str], text: str | None = None) -> tuple[int, str] | No
     if "X" in classes:
         at = next(n for n, t in enumerate(toks) if lexer.classes([t]) == "X")
         return _token_line(text, at), "token that no rule allows: " + toks[at][:40]
-    flat, bad = grammar.balance(classes)
+    flat, bad = deep(grammar.balance, classes)
     if bad >= 0:
         seen = (n for n, t in enumerate(toks) if lexer.classes([t]))
         return _token_line(text, next((n for k, n in enumerate(seen) if k == bad), len(toks))), "bracket without partner"
-    if grammar.items(flat, "items"):
+    if deep(grammar.items, flat, "items"):
         return None
-    return failure_line(text, toks) if text else 0, "item or statement that the grammar doesn't allow"
+    return deep(failure_line, text, toks) if text else 0, "item or statement that the grammar doesn't allow"
 
 
 def _token_line(text: str | None, at: int) -> int:
@@ -173,15 +176,19 @@ def failures(source_files: DataFrame) -> DataFrame:
 def rates(source_files: DataFrame, parse_failures: DataFrame, bad: DataFrame) -> DataFrame:
     """Files, files that don't parse, their share, and how many of the latter the log names, by repository and extension.
 
-    The log's paths may be written as ``./a\\b`` or absolute; they are matched by the end of the path within the repository.
+    The log's paths may be written as ``./a\\b`` or absolute; they are matched by a file's path in the repository and by its absolute path.
     """
+    plain = lambda c: F.regexp_replace(F.lower(F.translate(F.trim(c), "\\", "/")), r"^(\./|/)+", "")
+    absolute = plain(F.col("absolute_path")) if "absolute_path" in source_files.columns else F.lit(None).cast("string")
     files = source_files.select(
-        "file_id", "repo", F.lower("relative_path").alias("path"), extension().alias("language"), F.col("text").isNotNull().alias("has_text")
-    ).where(F.col("language").isin(*EXTENSIONS) & F.col("has_text")).dropDuplicates(["file_id"])
-    log = parse_failures.select("repo", F.lower(F.regexp_replace(F.regexp_replace(F.trim("path"), r"\\", "/"), r"^(\./)+|^/srv/checkouts/[^/]+/|^/+", "")).alias("path")).distinct()
+        "file_id", "repo", plain(F.col("relative_path")).alias("path"), absolute.alias("absolute"), extension().alias("language"), F.col("text").isNotNull().alias("has_text")
+    ).where(F.col("language").isin(*EXTENSIONS) & F.col("has_text")).dropDuplicates(["file_id"]).drop("has_text")
+    log = parse_failures.select("repo", plain(F.col("path")).alias("name")).where("name is not null").distinct()
+    names = files.select("file_id", "repo", F.explode(F.array_distinct(F.array_compact(F.array("path", "absolute")))).alias("name"))
+    logged = names.join(log, ["repo", "name"], "left_semi").select("file_id", F.lit(1).alias("logged")).distinct()
     return (
         files.join(bad.select("file_id", F.lit(1).alias("bad")), "file_id", "left")
-        .join(log.withColumn("logged", F.lit(1)), ["repo", "path"], "left")
+        .join(logged, "file_id", "left")
         .groupBy("repo", "language")
         .agg(
             F.count("*").alias("files"),

@@ -48,6 +48,24 @@ def test_deep_and_long_texts_are_judged():
     assert source_syntax.check("py", "x = 1\0\n")
 
 
+DEEP = 10_000
+
+
+@pytest.mark.parametrize(("ext", "before", "inside", "after", "rest"), [
+    ("js", "x = ", "(", "1", ")"), ("js", "x = ", "[", "", "]"), ("js", "", "f(", "", ")"), ("js", "if (a) b();", " else if (c) d();", "", ""), ("js", "", "function f(){", "", "}"), ("js", "x = ", "a => ", "1", ""),
+    ("rs", "const X: u8 = ", "(", "1", ")"), ("rs", "fn f() {", "f(", "", ")"), ("rs", "fn f() { if a { b() }", " else if c { d() }", "", ""), ("rs", "static X: ", "Vec<", "u8", ">"), ("rs", "", "mod a {", "", "}"), ("rs", "const X: bool = ", "!", "a", ""),
+    ("toml", "a = ", "[", "", "]"), ("toml", "a = ", "{b = ", "1", "}"), ("json", "", "[", "", "]"), ("py", "x = ", "a + ", "a", ""),
+])
+def test_nesting_of_any_depth(ext, before, inside, after, rest):
+    ends = {"const": ";", "static": ";", "fn": "}"}
+    end = ends.get(before.split(" ")[0], "") if ext == "rs" else ""
+    if before.startswith("static"):
+        end = " = a;"
+    assert source_syntax.check(ext, before + inside * DEEP + after + rest * DEEP + end) is None
+    if rest:
+        assert source_syntax.check(ext, before + inside * DEEP + after + rest * (DEEP - 1) + end)
+
+
 @pytest.mark.parametrize(("text", "ok"), [
     ("a\nb", True), ("a b", False), ("return 1", False), ("let x = /a[/]b/g.test(y) / 2;", True), ("x = `a${b ? `c` : {d: 1}.d}e`", True), ("for (const [a, {b = 1}] of c) d: { break d }", True),
     ("class A extends B { #x = 1; static { } get y() { return this.#x } async *z() { yield* a } }", True), ("({a = 1})", False), ("({a = 1} = b)", True), ("a ? (b, c) => d : e => ({})", True), ("import a, * as b from 'c'; export { b as default }", True),
@@ -61,7 +79,7 @@ def test_failures_over_tables(spark):
     df = files(spark, ("r", "a.rs", BAD["rs"]), ("r", "b.RS", GOOD["rs"]), ("r", "c.json", ""), ("r", "d.rs", None), ("r", "e.md", BAD["rs"]), ("r", None, "x"), ("r", "rs", "fn ("), ("r", "d/.rs", "fn ("))
     df = df.unionByName(df)
     assert [r[0] for r in rows(source_syntax.failures(df), "file_id")] == [1, 3]
-    log = table(spark, "repo string, path string", ("r", "./a.rs"), ("r", "\\b.rs"), (None, None))
+    log = table(spark, "repo string, path string", ("r", "./a.rs"), ("r", "\\b.rs"), ("r", "/any/where/A.rs"), (None, None))
     got = {r.language: r for r in source_syntax.rates(df, log, source_syntax.failures(df)).collect()}
     assert (got["rs"].files, got["rs"].failing, got["rs"].failing_in_log, got["json"].rate) == (2, 1, 1, 1.0)
     assert source_syntax.failures(df.limit(0)).count() == 0
