@@ -24,6 +24,7 @@ from srclens.operators.components import connected_components
 BUCKET = 32  # up to here a bucket is paired by a join; larger ones block by block
 BLOCK = 256  # members of a bucket that are compared at once
 ANCHORS = 3
+ROWS = 5_000  # that a task gathers before it hands them on
 #: Detectors and kinds of groups in rank order.
 DETECTORS = ("subtree", "suffix_array", "min_hash", "edit_distance")
 KINDS = ("exact", "renamed", "near_miss")
@@ -47,11 +48,15 @@ def extract(inputs: DataFrame, kind: str, clones: Clones, t: Thresholds) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[dict] = []
             for row in batch.to_pylist():
-                found = deep(make, row["text"], row["path"])
-                if found:
-                    extra = {"path": row["path"], "editable": row["editable"], "file_is_test": row["is_test_path"]}
-                    yield pa.RecordBatch.from_pylist([extra | u for u in found], schema=schema)
+                extra = {"path": row["path"], "editable": row["editable"], "file_is_test": row["is_test_path"]}
+                out += [extra | u for u in deep(make, row["text"], row["path"])]
+                if len(out) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     rows = inputs.select("path", "text", F.coalesce("editable", F.lit(True)).alias("editable"), F.coalesce("is_test_path", F.lit(False)).alias("is_test_path")).where("text is not null")
     return rows.mapInArrow(run, full)
@@ -341,7 +346,8 @@ def detect(inputs: DataFrame, clones: Clones | None = None, t: Thresholds | None
 
 def symbol_index(inputs: DataFrame, clones: Clones | None = None, t: Thresholds | None = None) -> DataFrame:
     """The symbols of all files, by path and line."""
-    rows = extract(inputs, "symbols", clones or Clones(), t or Thresholds())
+    # written before it is sorted, as sorting reads its input once more to find the ranges
+    rows = durable(extract(inputs, "symbols", clones or Clones(), t or Thresholds()))
     return rows.withColumn("is_test", F.col("is_test") | F.col("file_is_test")).withColumnRenamed("path", "file").drop("file_is_test").orderBy("file", "start_line", "end_line", "qualified_name")
 
 

@@ -11,6 +11,19 @@ LANGUAGES = {
     "html": "HTML", "css": "CSS", "python": "Python", "c": "C/C++", "go": "Go", "sql": "SQL", "other": "Other",
 }
 DEFINITIONS = {k: k.replace("_", " ") for k in "function struct enum trait const static type_alias macro module file".split()}
+FINDINGS = {
+    k: k.replace("_", " ")
+    for k in (
+        "huge_file large_file underdocumented long_function complex_function deep_nesting allocation_in_loop nested_loop panic_path unfinished_work "
+        "large_directory heavy_dependency duplicate_dependency unused_dependency dead_code orphan_file parse_failure duplicate_code"
+    ).split()
+}
+SEVERITIES = {k: k for k in ("critical", "high", "medium", "low")}
+CONFIDENCES = {k: k for k in ("high", "medium")}
+CLONE_KINDS = {"exact": "exact", "renamed": "renamed", "near_miss": "near miss"}
+FRAGMENTS = {k: k.replace("_", " ") for k in "function impl trait closure match_arm if_chain block statements type_shape".split()}
+DETECTORS = {"subtree": "equal subtrees", "suffix_array": "repeated runs", "min_hash": "similar shingles", "edit_distance": "small edit distance"}
+DEPENDENCY_KINDS = {k: k for k in ("normal", "build", "development")}
 NOTE_LEVELS = {k: k for k in ("info", "warning", "critical")}
 
 

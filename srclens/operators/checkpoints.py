@@ -28,3 +28,9 @@ def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """``df`` with a hint to broadcast it if it has at most ``most`` rows, which is counted; else as it is, to be joined by a shuffle
     that the session's skew handling may split."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row for each key, where few have more: the rest isn't shuffled. The keys that repeat are counted first, by themselves."""
+    again = small(durable(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)))
+    return df.join(again, key, "left_anti").unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))

@@ -1,55 +1,23 @@
-"""Every query of the reference's operators over the supplied tables, with its SQL where SQL can say it."""
+"""Queries of single operators over the supplied tables, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from srclens.clones import detect
+from srclens.clones import detect, node_table
+from srclens.clones.sketch import sketch_groups
 from srclens.config import Clones, Note, Thresholds
 from srclens.functions import language as lang
 from srclens.functions import paths
 from srclens.functions.similarity import dice_pairs
 from srclens.functions.text import matches
-from srclens.operators import dead_code, dependencies, findings, metrics, rust_files
+from srclens.operators import dead_code, metrics, rust_files
 from srclens.operators import lines as L
-from srclens.operators.checkpoints import durable
+from srclens.operators.checkpoints import durable, once
 from srclens.operators.components import connected_components
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Scanned files, repeated rows once."""
-    return table(spark, sf_dir, "source_files").select("file_id", *columns).dropDuplicates(["file_id"])
-
-
-FILES = "(SELECT DISTINCT ON (file_id) * FROM source_files)"
-SYMBOLS = "(SELECT DISTINCT ON (symbol_id) * FROM symbols)"
-_CASES = " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in lang.EXTENSIONS.items())
-NAME = "regexp_extract(relative_path, '([^/]*)$', 1)"
-LANGUAGE = f"CASE CASE WHEN contains({NAME}, '.') THEN lower(regexp_extract({NAME}, '\\.([^.]*)$', 1)) ELSE '' END {_CASES} ELSE 'other' END"
-DIRECTORY = "CASE WHEN contains(relative_path, '/') THEN regexp_extract(relative_path, '^(.*)/[^/]*$', 1) ELSE '.' END"
-
+from srclens.plans.base import BLANKS, DIRECTORY, FILES, LANGUAGE, LINES, NAME, SYMBOLS, files, query, table
 
 # -- projections and scalar functions
 @query(f"SELECT {LANGUAGE} AS language, count(*)::BIGINT AS files FROM {FILES} GROUP BY 1")
@@ -100,75 +68,48 @@ def regex_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- lines
-_LINES = "CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) END"
-
-
-@query(
-    f"WITH f AS (SELECT {LANGUAGE} AS language, {_LINES} AS ls FROM {FILES} WHERE text IS NOT NULL), c AS (SELECT language, len(ls) AS total, len(list_filter(ls, lambda x: trim(x, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) = '')) AS blank, "
-    "CASE WHEN language = 'json' THEN 0 ELSE len(list_filter(ls, lambda x: starts_with(trim(x, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '#'))) END AS comment FROM f WHERE language IN ('toml','yaml','shell','json')) "
-    "SELECT language, count(*)::BIGINT AS files, sum(total)::BIGINT AS total, sum(total - blank - comment)::BIGINT AS code, sum(comment)::BIGINT AS comment, sum(blank)::BIGINT AS blank FROM c GROUP BY 1"
-)
-def line_totals_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1, A2 for languages without block comments."""
-    rows = files(spark, sf_dir, "relative_path", "text").where("text is not null").withColumn("language", lang.language("relative_path")).where(F.col("language").isin("toml", "yaml", "shell", "json"))
-    rows = rows.withColumn("lines", L.stateless_counts(F.col("language"), F.col("text")))
-    return rows.groupBy("language").agg(F.count("*").alias("files"), *(F.sum(f"lines.{n}").alias(n) for n in ("total", "code", "comment", "blank")))
 
 
 @query()
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1-L3 with block comments: the state runs through a file, so SQL has no short word for it."""
-    rows = L.with_line_counts(files(spark, sf_dir, "relative_path", "text").withColumn("language", lang.language("relative_path")))
-    return rows.select("file_id", "language", "lines.*")
-
-
-@query(f"SELECT file_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(ltrim(x, ' '), '^(//|\\*)') AND regexp_matches(x, 'TODO|FIXME|HACK|XXX')))::BIGINT AS markers FROM {FILES} WHERE text IS NOT NULL")
-def todo_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L5."""
-    return files(spark, sf_dir, "text").where("text is not null").select("file_id", L.todo_markers("text").cast("bigint").alias("markers"))
+    rows = L.with_line_counts(table(spark, sf_dir, "source_files").withColumn("language", lang.language("relative_path")))
+    return rows.select("file_id", "language", "lines.*").dropDuplicates(["file_id"])
 
 
 @query(
-    f"WITH r AS (SELECT DISTINCT file_id, start_line, end_line FROM syntax_nodes WHERE test AND kind = 'function_item'), l AS (SELECT file_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM {FILES} WHERE text IS NOT NULL) "
-    "SELECT file_id, count(*)::BIGINT AS test_lines FROM l WHERE EXISTS (SELECT 1 FROM r WHERE r.file_id = l.file_id AND l.line_no BETWEEN r.start_line AND r.end_line) GROUP BY 1"
+    f"WITH r AS (SELECT DISTINCT file_id, start_line, end_line FROM syntax_nodes WHERE test AND kind = 'function_item'), l AS (SELECT file_id, unnest(range(1, len({LINES}) + 1)) AS line_no, unnest({LINES}) AS line FROM {FILES} WHERE text IS NOT NULL), "
+    f"t AS (SELECT DISTINCT l.file_id, line_no, trim(line, {BLANKS}) AS line FROM l JOIN r ON r.file_id = l.file_id AND line_no BETWEEN start_line AND end_line) "
+    "SELECT file_id, count(*)::BIGINT AS test_lines, count(*) FILTER (line = '')::BIGINT AS blank_lines FROM t GROUP BY 1"
 )
 def test_range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranges are gathered by file, so that no line meets another file's range."""
-    ranges = table(spark, sf_dir, "syntax_nodes").where("test and kind = 'function_item'").groupBy("file_id").agg(F.collect_set(F.struct("start_line", "end_line")).alias("ranges"))
-    rows = files(spark, sf_dir, "text").where("text is not null").join(ranges, "file_id").withColumn("n", F.size(F.split("text", "\n")))
-    inside = F.filter(F.sequence(F.lit(1), F.col("n")), lambda x: F.exists("ranges", lambda r: (x >= r["start_line"]) & (x <= r["end_line"])))
-    return rows.select("file_id", F.size(inside).cast("bigint").alias("test_lines")).where("test_lines > 0")
+    """Lines of files in the ranges of their test functions; the ranges are gathered by file, so that no line meets another file's."""
+    ranges = table(spark, sf_dir, "syntax_nodes").where("test and kind = 'function_item'").groupBy("file_id").agg(F.collect_set(F.struct("start_line", "end_line")).alias("test_ranges"))
+    rows = files(spark, sf_dir, "text").join(ranges, "file_id").select("file_id", "text", F.struct("test_ranges").alias("rust"))
+    return rows.select("file_id", metrics.range_counts().alias("c")).select("file_id", F.col("c.total").alias("test_lines"), F.col("c.blank").alias("blank_lines")).where("test_lines > 0")
 
 
-# -- aggregations
-@query(f"SELECT repo || '/' || ({DIRECTORY}) AS path, count(*)::BIGINT AS files, sum(coalesce(bytes, 0))::BIGINT AS bytes, bool_and(is_test_path) AS is_test_only FROM {FILES} GROUP BY 1")
-def directory_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1."""
-    rows = files(spark, sf_dir, "repo", "relative_path", "bytes", "is_test_path")
-    return rows.groupBy(F.concat_ws("/", "repo", paths.directory("relative_path")).alias("path")).agg(F.count("*").alias("files"), F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"), F.bool_and("is_test_path").alias("is_test_only"))
+@query(f"SELECT repo, t AS crate FROM (SELECT DISTINCT repo, unnest(types) AS t FROM {SYMBOLS}) WHERE t IS NOT NULL")
+def referenced_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 over the types that symbols name."""
+    rows = table(spark, sf_dir, "symbols").select("repo", F.struct(F.array_compact("types").alias("referenced_crates")).alias("rust"))
+    return rust_files.referenced_crates(rows, "repo")
 
 
-@query(
-    f"WITH f AS (SELECT repo || '/' || relative_path AS p, coalesce(bytes, 0) AS bytes FROM {FILES}), a AS (SELECT array_to_string(list_slice(string_split(p, '/'), 1, n), '/') AS path, bytes FROM (SELECT p, bytes, unnest(range(1, len(string_split(p, '/')))) AS n FROM f)) "
-    "SELECT path, count(*)::BIGINT AS files, sum(bytes)::BIGINT AS bytes FROM a GROUP BY 1"
-)
-def directory_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A9."""
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(n) for n in ("total", "code", "comment", "blank")))
-    rows = files(spark, sf_dir, "repo", "relative_path", "bytes").withColumn("directory", paths.directory(F.concat_ws("/", "repo", "relative_path"))).withColumn("lines", zero)
-    return metrics.rollup(rows).where("path <> '.'").select("path", "files", "bytes")
-
-
-@query(f"SELECT repo, count(*)::BIGINT AS files, count(*) FILTER (is_test_path)::BIGINT AS test_files, sum(coalesce(bytes, 0))::BIGINT AS bytes, count(DISTINCT {DIRECTORY})::BIGINT AS directories, count(text)::BIGINT AS readable FROM {FILES} GROUP BY 1")
-def repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3, A4."""
-    rows = files(spark, sf_dir, "repo", "relative_path", "bytes", "is_test_path", "text")
-    return rows.groupBy("repo").agg(
-        F.count("*").alias("files"), F.count(F.when(F.col("is_test_path"), 1)).alias("test_files"), F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"),
-        F.count_distinct(paths.directory("relative_path")).alias("directories"), F.count("text").alias("readable"),
-    )
+@query(f"SELECT name, count(*)::BIGINT AS declared FROM {SYMBOLS} GROUP BY 1")
+def declaration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6."""
+    return rust_files.declaration_counts(table(spark, sf_dir, "symbols").dropDuplicates(["symbol_id"]))
+
+
+@query()
+def language_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1, A2 over all files and languages, block comments and all."""
+    rows = L.with_line_counts(table(spark, sf_dir, "source_files").withColumn("language", lang.language("relative_path")))
+    return metrics.languages(rows.select("file_id", "language", "bytes", "lines").dropDuplicates(["file_id"])).select("language", "files", "bytes", "lines.*")
 
 
+# -- aggregations
 @query(
     f"WITH f AS (SELECT file_id, repo || '/' || ({DIRECTORY}) AS d FROM {FILES}), o AS (SELECT repo || '/' || ({DIRECTORY}) AS dir, min(relative_path) AS name FROM {FILES} WHERE ends_with(relative_path, '.toml') GROUP BY 1) "
     "SELECT f.file_id, max_by(o.name, length(o.dir)) AS owner FROM f LEFT JOIN o ON f.d = o.dir OR starts_with(f.d, o.dir || '/') GROUP BY 1"
@@ -196,12 +137,6 @@ def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo", F.explode(F.concat(F.coalesce("identifiers", none), F.coalesce("types", none))).alias("name")).where("name is not null").groupBy("repo", "name").agg(F.count("*").alias("uses"))
 
 
-@query(f"SELECT name, count(*)::BIGINT AS declared, count(DISTINCT repo)::BIGINT AS repos FROM {SYMBOLS} GROUP BY 1")
-def declaration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6."""
-    return table(spark, sf_dir, "symbols").dropDuplicates(["symbol_id"]).groupBy("name").agg(F.count("*").alias("declared"), F.count_distinct("repo").alias("repos"))
-
-
 @query(
     f"WITH d AS (SELECT name, count(*) AS declared FROM {SYMBOLS} GROUP BY 1), u AS (SELECT name, sum(uses) AS uses FROM {_USES} GROUP BY 1) "
     f"SELECT s.name, s.kind, s.repo || '/' || s.file AS file, s.start_line AS line, CASE WHEN coalesce(s.editable, true) THEN 'high' ELSE 'medium' END AS confidence FROM {SYMBOLS} s LEFT JOIN d USING (name) LEFT JOIN u USING (name) "
@@ -217,22 +152,6 @@ def dead_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dead_code.candidates(_uses(spark, sf_dir), defs, ["main"]).select("name", "kind", "file", "line", "confidence")
 
 
-@query("SELECT p_name AS name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS versions FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
-def duplicate_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one name in more than one type."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("version"))
-    return dependencies.duplicate_versions(rows).select("name", F.array_join("versions", ",").alias("versions"))
-
-
-@query(
-    f"WITH r AS (SELECT repo, list_sort(list_distinct(list(t))) AS types FROM (SELECT repo, unnest(types) AS t FROM {SYMBOLS}) WHERE t IS NOT NULL AND t <> '' GROUP BY 1) SELECT repo, len(types)::BIGINT AS n, types[1] AS first FROM r"
-)
-def referenced_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets by owner; distinct values are counted before anything is gathered."""
-    named = table(spark, sf_dir, "symbols").select("repo", F.explode("types").alias("t")).where("t is not null and t <> ''").distinct()
-    return named.groupBy("repo").agg(F.count("*").alias("n"), F.min("t").alias("first"))
-
-
 @query(f"SELECT f.file_id, f.repo FROM {FILES} f WHERE ends_with(f.relative_path, '.rs') AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.repo = f.repo AND s.file = f.relative_path)")
 def unindexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files without symbols, by an anti join."""
@@ -240,18 +159,6 @@ def unindexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir, "repo", "relative_path").where(F.col("relative_path").endswith(".rs")).join(index, ["repo", "relative_path"], "left_anti").select("file_id", "repo")
 
 
-@query(
-    f"WITH e AS (SELECT file_id, bool_and(coalesce(editable, true)) AS editable, bool_or(coalesce(is_test_path, false)) AS t FROM clone_inputs GROUP BY 1) SELECT f.file_id, f.is_test_path OR coalesce(e.t, false) AS is_test, coalesce(e.editable, true) AND NOT regexp_matches(f.relative_path, '^vendor/.*$') AS editable "
-    f"FROM {FILES} f LEFT JOIN e USING (file_id) WHERE f.text IS NOT NULL AND ({LANGUAGE.replace('relative_path', 'f.relative_path')}) = 'rust'"
-)
-def clone_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What clone detection is handed."""
-    given = table(spark, sf_dir, "clone_inputs").groupBy("file_id").agg(F.bool_and(F.coalesce("editable", F.lit(True))).alias("e"), F.bool_or(F.coalesce("is_test_path", F.lit(False))).alias("t"))
-    rows = files(spark, sf_dir, "relative_path", "is_test_path", F.col("text").isNotNull().alias("has_text")).where(F.col("has_text") & (lang.language("relative_path") == "rust")).join(given, "file_id", "left")
-    editable = F.coalesce("e", F.lit(True)) & ~paths.matches_any("relative_path", ["vendor/**"])
-    return rows.select("file_id", (F.col("is_test_path") | F.coalesce("t", F.lit(False))).alias("is_test"), editable.alias("editable"))
-
-
 @query(f"WITH a AS (SELECT DISTINCT repo, regexp_replace(path, '^(\\./)+', '') AS path FROM parse_failures), b AS (SELECT DISTINCT repo, relative_path AS path FROM source_files) SELECT coalesce(a.repo, b.repo) AS repo, count(*) FILTER (b.path IS NULL)::BIGINT AS only_log, count(*) FILTER (a.path IS NULL)::BIGINT AS only_scan FROM a FULL JOIN b ON a.repo = b.repo AND a.path = b.path GROUP BY 1")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set operations: paths of the log and of the scan."""
@@ -271,7 +178,8 @@ def per_file_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- syntax trees as nested sets
 _NODES = "(SELECT * FROM syntax_nodes)"
-_ITEMS = "('function_item','struct_item','enum_item','trait_item','const_item','macro_definition','function_signature_item')"
+ITEMS = ("function_item", "struct_item", "enum_item", "trait_item", "const_item", "macro_definition", "function_signature_item")
+_ITEMS = str(ITEMS)
 
 
 @query(
@@ -290,57 +198,20 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct.unionByName(blocks)
 
 
-@query("WITH c AS (SELECT DISTINCT ON (candidate_id) * FROM clone_candidates WHERE shape IS NOT NULL) SELECT fragment, shape, count(*)::BIGINT AS copies, count(DISTINCT repo)::BIGINT AS repos, min(candidate_id)::BIGINT AS first_id, CASE WHEN count(DISTINCT code) = 1 THEN 'exact' ELSE 'renamed' END AS kind FROM c GROUP BY 1, 2 HAVING count(*) > 1")
-def subtree_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C13, C14 over the recorded shapes."""
-    rows = table(spark, sf_dir, "clone_candidates").dropDuplicates(["candidate_id"]).where("shape is not null")
-    kind = F.when(F.count_distinct("code") == 1, "exact").otherwise("renamed")
-    return rows.groupBy("fragment", "shape").agg(F.count("*").alias("copies"), F.count_distinct("repo").alias("repos"), F.min("candidate_id").alias("first_id"), kind.alias("kind")).where("copies > 1")
-
-
 @query(
     f"WITH i AS (SELECT file_id, idx, end_idx FROM syntax_nodes WHERE kind IN {_ITEMS}) SELECT n.file_id, n.idx, max(i.idx)::INT AS item FROM syntax_nodes n JOIN i ON n.file_id = i.file_id AND i.idx < n.idx AND n.idx < i.end_idx WHERE n.kind IN ('block','let_declaration','match_expression') GROUP BY 1, 2"
 )
 def enclosing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The innermost item around a node. Preorder makes it the last item that began before the node and isn't over:
-    one window over each file's nodes instead of an interval join."""
-    nodes = table(spark, sf_dir, "syntax_nodes").select("file_id", "idx", "kind", "end_idx")
-    items = ("function_item", "struct_item", "enum_item", "trait_item", "const_item", "macro_definition", "function_signature_item")
-    above = Window.partitionBy("file_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    is_item = F.col("kind").isin(*items)
-    opened = F.collect_list(F.when(is_item, F.struct("idx", "end_idx"))).over(above)
-    last = F.array_max(F.transform(F.filter(opened, lambda i: i["end_idx"] > F.col("idx")), lambda i: i["idx"]))
-    wanted = nodes.withColumn("item", last).where(F.col("kind").isin("block", "let_declaration", "match_expression") & F.col("item").isNotNull())
-    return wanted.select("file_id", "idx", "item")
+    """The innermost item around a node."""
+    rows = node_table.annotate(table(spark, sf_dir, "syntax_nodes"), ITEMS)
+    return rows.where("kind in ('block', 'let_declaration', 'match_expression') and item is not null").select("file_id", "idx", "item")
 
 
 @query("SELECT a.file_id, a.idx, bool_or(b.test) AS in_test, bool_or(b.error) AS has_error FROM syntax_nodes a JOIN syntax_nodes b ON a.file_id = b.file_id AND b.idx >= a.idx AND b.idx < a.end_idx WHERE a.kind = 'function_item' GROUP BY 1, 2")
 def subtree_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether anything below a function is a test or an error; an interval join within the file."""
-    nodes = table(spark, sf_dir, "syntax_nodes").select("file_id", "idx", "end_idx", "kind", "test", "error")
-    heads = nodes.where("kind = 'function_item'").select("file_id", F.col("idx").alias("head"), "end_idx")
-    inner = nodes.select("file_id", F.col("idx").alias("i"), "test", "error")
-    return heads.join(inner, (heads.file_id == inner.file_id) & (F.col("i") >= F.col("head")) & (F.col("i") < F.col("end_idx"))).groupBy(heads.file_id, F.col("head").alias("idx")).agg(F.bool_or("test").alias("in_test"), F.bool_or("error").alias("has_error"))
-
-
-@query(
-    f"WITH s AS (SELECT symbol_id, repo, file, start_line, end_line FROM {SYMBOLS}) SELECT a.symbol_id AS outer_id, b.symbol_id AS inner_id FROM s a JOIN s b ON a.repo = b.repo AND a.file = b.file AND a.symbol_id <> b.symbol_id AND a.start_line <= b.start_line AND b.end_line <= a.end_line AND NOT (a.start_line = b.start_line AND a.end_line = b.end_line)"
-)
-def containment_subsumption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols within others."""
-    s = table(spark, sf_dir, "symbols").dropDuplicates(["symbol_id"]).select("symbol_id", "repo", "file", "start_line", "end_line")
-    a, b = s.alias("a"), s.alias("b")
-    inside = "a.repo = b.repo and a.file = b.file and a.symbol_id <> b.symbol_id and a.start_line <= b.start_line and b.end_line <= a.end_line and not (a.start_line = b.start_line and a.end_line = b.end_line)"
-    return a.join(b, F.expr(inside)).select(F.col("a.symbol_id").alias("outer_id"), F.col("b.symbol_id").alias("inner_id"))
-
-
-@query(
-    f"WITH c AS (SELECT symbol_id AS id, repo, file, start_line, end_line FROM {SYMBOLS}) SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.repo = b.repo AND a.file = b.file AND a.id < b.id AND a.start_line <= b.end_line AND b.start_line <= a.end_line"
-)
-def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols that overlap in their file."""
-    c = table(spark, sf_dir, "symbols").dropDuplicates(["symbol_id"]).select(F.col("symbol_id").alias("id"), "repo", "file", "start_line", "end_line")
-    return c.alias("a").join(c.alias("b"), F.expr("a.repo = b.repo and a.file = b.file and a.id < b.id and a.start_line <= b.end_line and b.start_line <= a.end_line")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    """Whether anything below a function is a test or an error."""
+    rows = node_table.annotate(table(spark, sf_dir, "syntax_nodes"), ITEMS)
+    return rows.where("kind = 'function_item'").select("file_id", "idx", "in_test", "has_error")
 
 
 @query(
@@ -368,137 +239,50 @@ def dice_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dice_pairs(bags, pairs).select("a", "b", F.round("dice", 6).alias("dice"))
 
 
-# -- graphs
-_GRAPH = (
-    "WITH RECURSIVE p AS (SELECT 'p' || p_partkey AS id, p_size = 1 AS m FROM part UNION ALL SELECT 's' || s_suppkey, false FROM supplier UNION ALL SELECT 'n' || n_nationkey, false FROM nation UNION ALL SELECT 'r' || r_regionkey, false FROM region), "
-    "e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
-)
-
-
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts of size 1 as members that depend on suppliers, these on nations and those on regions."""
-    read = lambda t: table(spark, sf_dir, t)
-    node = lambda df, mark, key, member=None: df.select(F.concat(F.lit(mark), key).alias("id"), (member if member is not None else F.lit(False)).alias("is_workspace_member"))
-    packages = node(read("part"), "p", "p_partkey", F.col("p_size") == 1).unionByName(node(read("supplier"), "s", "s_suppkey")).unionByName(node(read("nation"), "n", "n_nationkey")).unionByName(node(read("region"), "r", "r_regionkey"))
-    edge = lambda df, m, a, n, b: df.select(F.concat(F.lit(m), a).alias("from"), F.concat(F.lit(n), b).alias("to")).distinct()
-    edges = edge(read("lineitem"), "p", "l_partkey", "s", "l_suppkey").unionByName(edge(read("supplier"), "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge(read("nation"), "n", "n_nationkey", "r", "n_regionkey"))
-    return durable(packages), durable(edges)
-
-
-@query(_GRAPH + ", w AS (SELECT id AS node FROM p WHERE m UNION SELECT e.b FROM w JOIN e ON e.a = w.node) SELECT node FROM w JOIN p ON p.id = w.node WHERE NOT p.m")
-def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G6."""
-    return dependencies.reachable(*graph(spark, sf_dir)).select("node")
-
-
-@query(_GRAPH + ", w AS (SELECT id AS origin, id AS node FROM p WHERE id LIKE 's%' OR id LIKE 'n%' OR id LIKE 'r%' UNION SELECT w.origin, e.b FROM w JOIN e ON e.a = w.node) SELECT origin AS id, (count(*) - 1)::BIGINT AS transitive_count FROM w GROUP BY 1")
-def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G8 for all suppliers, nations and regions at once."""
-    packages, edges = graph(spark, sf_dir)
-    rest = packages.where(~F.col("id").startswith("p"))
-    return dependencies.transitive_counts(rest, edges)
-
-
-@query(
-    _GRAPH + ", d AS (SELECT DISTINCT e.b AS id FROM e JOIN p ON p.id = e.a AND p.m), w AS (SELECT id AS node FROM p WHERE m UNION SELECT e.b FROM w JOIN e ON e.a = w.node), "
-    "x AS (SELECT d.id AS cut, p.id AS node FROM d, p WHERE p.m UNION SELECT x.cut, e.b FROM x JOIN e ON e.a = x.node AND e.b <> x.cut), k AS (SELECT cut, count(*) FILTER (NOT p.m) AS kept FROM x JOIN p ON p.id = x.node GROUP BY 1) "
-    "SELECT k.cut AS id, ((SELECT count(*) FROM w JOIN p ON p.id = w.node WHERE NOT p.m) - k.kept)::BIGINT AS exclusive_count FROM k"
-)
-def exclusive_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G7 for all direct dependencies at once."""
-    return dependencies.exclusive_counts(*graph(spark, sf_dir))
-
-
-@query(
-    _GRAPH + ", w AS (SELECT id AS node FROM p WHERE m UNION SELECT e.b FROM w JOIN e ON e.a = w.node), u AS (SELECT * FROM e WHERE NOT (a IN (SELECT id FROM p WHERE m) AND b LIKE 's%7')), "
-    "v AS (SELECT id AS node FROM p WHERE m UNION SELECT u.b FROM v JOIN u ON u.a = v.node) SELECT node FROM w WHERE node NOT IN (SELECT node FROM v)"
-)
-def removal_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What members no longer reach without the suppliers whose key ends in 7."""
-    packages, edges = graph(spark, sf_dir)
-    before = dependencies.reachable(packages, edges)
-    removed = packages.where(F.col("id").startswith("s") & F.col("id").endswith("7")).select("id")
-    return before.join(dependencies.reachable(packages, edges, removed=removed), "node", "left_anti").select("node")
-
-
-@query(_GRAPH + ", w AS (SELECT id AS node, 0 AS depth FROM p WHERE m UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < 6) SELECT node AS id, min(depth)::INT AS depth FROM w GROUP BY 1")
-def subtree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least distance from a member."""
-    return dependencies.depths(*graph(spark, sf_dir))
-
-
-@query("SELECT 'n' || n_nationkey AS package, 's' || s_suppkey AS dependency, 'normal' AS kind FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_tax >= 0.08 AND l_discount >= 0.1)")
-def unused_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nation's suppliers that no large order names."""
-    supplier = table(spark, sf_dir, "supplier")
-    packages = supplier.groupBy(F.concat(F.lit("n"), "s_nationkey").alias("name")).agg(F.collect_list(F.struct(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.lit("normal").alias("kind"), F.lit(False).alias("optional"))).alias("dependencies")).withColumn("is_workspace_member", F.lit(True))
-    named = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_tax >= 0.08 and l_discount >= 0.1").select("l_suppkey").distinct().join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat(F.lit("n"), "s_nationkey").alias("package"), F.concat(F.lit("s"), "s_suppkey").alias("crate"))
-    every = packages.select(F.col("name").alias("package"), F.lit("").alias("crate"))
-    return dependencies.unused(packages, named.unionByName(every))
-
-
-# -- findings
-_FOUND = (
-    f"WITH b AS (SELECT repo || '/' || relative_path AS path, coalesce(bytes, 0) AS bytes FROM {FILES}), s AS (SELECT repo || '/' || file AS path, qualified_name, start_line, end_line - start_line + 1 AS size, len(coalesce(parameters, [])) AS ps FROM {SYMBOLS} WHERE kind = 'function_item'), "
-    f"d AS (SELECT repo || '/' || ({DIRECTORY}) AS path, count(*) AS n FROM {FILES} GROUP BY 1), l AS (SELECT DISTINCT repo || '/' || path AS path, line FROM parse_failures), "
-    "f AS (SELECT 'long_function' AS rule, 'medium' AS severity, path AS file, start_line AS line, size::DOUBLE AS metric FROM s WHERE size >= 12 UNION ALL SELECT 'large_directory', 'low', path, NULL, n::DOUBLE FROM d WHERE n >= 3 UNION ALL SELECT 'parse_failure', 'low', path, line, 1.0 FROM l)"
-)
-
-
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Thresholds(long_function_lines=12, large_directory_files=3)
-    s = table(spark, sf_dir, "symbols").dropDuplicates(["symbol_id"]).where("kind = 'function_item'")
-    function = F.struct("qualified_name", "start_line", "end_line", F.lit(1).alias("complexity"), F.lit(1).cast("bigint").alias("max_nesting"))
-    as_files = s.select(F.concat_ws("/", "repo", "file").alias("path"), F.struct(F.array(function).alias("functions")).alias("rust"))
-    directories = files(spark, sf_dir, "repo", "relative_path").groupBy(F.concat_ws("/", "repo", paths.directory("relative_path")).alias("path")).agg(F.count("*").alias("files"))
-    failures = table(spark, sf_dir, "parse_failures").groupBy(F.concat_ws("/", "repo", "path").alias("path"), "line").agg(F.min("message").alias("message"))
-    return findings.ranked([findings.function_rules(as_files, t)[0], *findings.directory_rules(directories, t), *findings.parse_failure_rules(failures)])
-
-
-@query(_FOUND + " SELECT rule, severity, file, coalesce(line, 0)::BIGINT AS line, metric FROM f")
-def findings_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U4, U11, U17 and their ranking."""
-    return _found(spark, sf_dir).select("rule", "severity", "file", F.coalesce("line", F.lit(0)).alias("line"), "metric")
-
-
-@query(_FOUND + " SELECT rule, severity, count(*)::BIGINT AS n, max(metric) AS worst FROM f GROUP BY 1, 2")
-def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.max("metric").alias("worst"))
-
-
-@query(
-    _FOUND + ", a AS (SELECT DISTINCT array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') AS path FROM b), r AS (SELECT a.path, min(CASE f.severity WHEN 'medium' THEN 1 WHEN 'low' THEN 2 END) AS k FROM a LEFT JOIN f ON f.file = a.path OR starts_with(f.file, a.path || '/') GROUP BY 1) "
-    "SELECT path, CASE k WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS worst FROM r"
-)
-def worst_severity_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J14."""
-    tops = files(spark, sf_dir, "repo", "relative_path").select(F.concat_ws("/", "repo", F.substring_index("relative_path", "/", 1)).alias("path")).distinct()
-    return findings.worst_severity(_found(spark, sf_dir), tops).select("path", "worst")
-
-
 # -- Rust by its own parser: nothing in SQL says the same
 def _rust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir, "repo", "relative_path", "text", "is_test_path").where(F.col("relative_path").endswith(".rs") & F.col("text").isNotNull())
+    return table(spark, sf_dir, "source_files").select("file_id", "repo", "relative_path", "text", "is_test_path").where(F.col("relative_path").endswith(".rs") & F.col("text").isNotNull())
 
 
 @query()
 def rust_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1-R19, F6, A8 by repository."""
-    p = rust_files.parse(_rust(spark, sf_dir), ["file_id", "repo"])
+    """R1-R19, A8 by repository; repeated rows are dropped once they are measured, when they are small."""
+    p = rust_files.parse(_rust(spark, sf_dir), ["file_id", "repo"]).select(
+        "file_id", "repo", "failure", F.size("rust.functions").alias("functions"), rust_files.complexity().alias("complexity"), "rust.max_nesting", "rust.performance.unwraps", "rust.items.structs", "rust.public_items"
+    ).dropDuplicates(["file_id"])
     return p.groupBy("repo").agg(
-        F.count("*").alias("files"), F.count("failure").alias("failures"), F.sum(F.size("rust.functions")).alias("functions"), F.sum(rust_files.complexity()).alias("complexity"),
-        F.max("rust.max_nesting").alias("max_nesting"), F.sum("rust.performance.unwraps").alias("unwraps"), F.sum("rust.items.structs").alias("structs"), F.sum("rust.public_items").alias("public_items"),
-    )
+        F.count("*").alias("files"), F.count("failure").alias("failures"), F.max("max_nesting").alias("max_nesting"), *(F.sum(c).alias(c) for c in ("functions", "complexity", "unwraps", "structs", "public_items"))
+    )
 
 
 @query()
 def rust_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2, A5: identifiers of all Rust texts."""
-    return rust_files.census(rust_files.identifier_uses(rust_files.parse(_rust(spark, sf_dir), ["file_id"]), "file_id"))
+    return rust_files.census(rust_files.identifier_uses(rust_files.parse(once(_rust(spark, sf_dir), "file_id"), ["file_id"]), "file_id"))
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rust(spark, sf_dir).select(F.concat_ws("/", "repo", "relative_path").alias("path"), "text", "is_test_path", F.lit(True).alias("editable"))
+    """Rust files with the path in their repository's folder, read-only where the table of inputs says so."""
+    given = table(spark, sf_dir, "clone_inputs").groupBy("file_id").agg(F.bool_and(F.coalesce("editable", F.lit(True))).alias("given"))
+    rows = once(_rust(spark, sf_dir), "file_id").join(given, "file_id", "left")
+    own = rows.select(F.concat_ws("/", "repo", "relative_path").alias("relative_path"), F.lit("rust").alias("language"), "text", "is_test_path", F.coalesce("given", F.lit(True)).alias("editable"))
+    return detect.clone_inputs(own.where("editable"), own.where("not editable"), None, None, None)
+
+
+@query(
+    f"WITH g AS (SELECT file_id, bool_and(coalesce(editable, true)) AS editable, bool_or(coalesce(is_test_path, false)) AS t FROM clone_inputs GROUP BY 1), gone AS (SELECT DISTINCT repo || '/' || path AS path FROM parse_failures WHERE path IS NOT NULL) "
+    f"SELECT f.repo || '/' || f.relative_path AS path, coalesce(f.is_test_path, false) OR coalesce(g.t, false) AS is_test_path, coalesce(g.editable, true) AND NOT regexp_matches(f.repo || '/' || f.relative_path, '^(.*/)?vendor/.*$') AS editable "
+    f"FROM {FILES} f LEFT JOIN g USING (file_id) WHERE f.text IS NOT NULL AND ({LANGUAGE.replace('relative_path', 'f.relative_path')}) = 'rust' AND f.repo || '/' || f.relative_path NOT IN (SELECT path FROM gone)"
+)
+def clone_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and extra files, without those the log of failures names (in the place of orphans), read-only by glob."""
+    given = table(spark, sf_dir, "clone_inputs").groupBy("file_id").agg(F.bool_and(F.coalesce("editable", F.lit(True))).alias("given"), F.bool_or(F.coalesce("is_test_path", F.lit(False))).alias("t"))
+    rows = files(spark, sf_dir, "repo", "relative_path", "is_test_path", F.when(F.col("text").isNotNull(), "").alias("text")).join(given, "file_id", "left")
+    rows = rows.select(F.concat_ws("/", "repo", "relative_path").alias("relative_path"), lang.language("relative_path").alias("language"), "text", F.coalesce("is_test_path", F.lit(False)).alias("is_test_path"), F.coalesce("given", F.lit(True)).alias("editable"), "t")
+    tests = rows.where("t").select(F.col("relative_path").alias("path"))
+    gone = table(spark, sf_dir, "parse_failures").where("path is not null").select(F.concat_ws("/", "repo", "path").alias("path")).distinct()
+    found = detect.clone_inputs(rows.where("editable").drop("t", "editable"), rows.where("not editable").drop("t"), gone, tests, paths.matches_any("path", ["**/vendor/**"]))
+    return found.select("path", "is_test_path", "editable")
 
 
 @query()
@@ -516,18 +300,8 @@ def symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C10-C29."""
-    groups = detect.suppress(detect.score(detect.detect(_inputs(spark, sf_dir)), F.lit(0)), Clones().max_groups)
-    return groups.select("id", "kind", "fragment", "copies", "tokens", "lines_saved", "score", "similarity", F.array_join("detectors", ",").alias("detectors"))
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings_ranked(spark, sf_dir)
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    """Groups of all layers, with what their copies could share, ranked and without overlaps."""
+    inputs = durable(_inputs(spark, sf_dir))
+    sketched = sketch_groups(detect.detect(inputs), inputs)
+    groups = detect.suppress(detect.score(sketched, F.size("sketch.parameters")), Clones().max_groups)
+    return groups.select("id", "kind", "fragment", "copies", "tokens", "lines_saved", "score", "similarity", F.array_join("detectors", ",").alias("detectors"), "sketch.signature")
