@@ -354,7 +354,8 @@ class _Visitor:
             self.signals["allocating_conversions"] += 1
             self.signals["allocations_in_loops"] += loops > 0
         if name in ("include", "include_str", "include_bytes"):
-            inner = src.tok[node.kids[-1].start + 1 : node.kids[-1].end - 1]
+            body = next(k for k in reversed(node.kids) if src.tok[k.start] in "([{")  # an item's ``;`` may follow
+            inner = src.tok[body.start + 1 : body.end - 1]
             value = string_value(inner[0]) if len(inner) == 1 else None
             if value is not None:
                 self.includes.append({"path": value, "is_source": name == "include"})
