@@ -24,6 +24,7 @@ from srclens.operators.components import connected_components
 BUCKET = 32  # up to here a bucket is paired by a join; larger ones block by block
 BLOCK = 256  # members of a bucket that are compared at once
 ANCHORS = 3
+WIDTHS = {"kinds": 32, "words": 96}  # of the histograms
 ROWS = 5_000  # that a task gathers before it hands them on
 #: Detectors and kinds of groups in rank order.
 DETECTORS = ("subtree", "suffix_array", "min_hash", "edit_distance")
@@ -132,30 +133,61 @@ def repeated_runs(runs: DataFrame) -> DataFrame:
     )
 
 
+def in_common(a: Column, b: Column) -> Column:
+    """An upper bound of what two multisets have in common, by their histograms."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda total, x: total + x)
+
+
+def may_be_alike(similarity: float) -> Column:
+    """Whether two fragments, a and b, can be as similar as that, by what is cheap to carry: sizes and histograms."""
+    near = lambda c: F.least(f"{c}_a", f"{c}_b") >= similarity * F.greatest(f"{c}_a", f"{c}_b")
+    both = lambda c: (F.size(f"{c}_a") > 0) & (F.size(f"{c}_b") > 0)
+    common = lambda c: in_common(F.col(f"{c}_a"), F.col(f"{c}_b"))
+    largest = F.greatest("nodes_a", "nodes_b")
+    bag = ~both("kinds") | (2 * common("kinds") >= similarity * (F.col("nodes_a") + F.col("nodes_b")) - 1e-9)
+    # every edit changes one label at most
+    edits = ~both("words") | (largest - common("words") <= F.floor((1 - similarity) * largest + 1e-9))
+    return (F.col("shape_a") != F.col("shape_b")) & near("tokens") & near("nodes") & bag & edits
+
+
+CARRIED = ("shape", "tokens", "nodes", "kinds", "words")
+
+
 def lsh_pairs(fragments: DataFrame, similarity: float = 0.0) -> DataFrame:
-    """All pairs of fragments (a, b as keys) that share a band of their MinHash values (C21) and aren't too unlike in size."""
-    rows = fragments.where(F.size("bands") > 0).select("key", "fragment", "shape", "tokens", "nodes", F.posexplode("bands").alias("band", "h"))
+    """All pairs of fragments (a, b as keys) that share a band of their MinHash values (C21) and may be as similar as that."""
+    rows = fragments.where(F.size("bands") > 0).select("key", "fragment", *CARRIED, F.posexplode("bands").alias("band", "h"))
     bucket = ["fragment", "band", "h"]
     sized = rows.join(rows.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), bucket)
-    few = sized.where(F.col("n") <= BUCKET).select(*bucket, "key")
-    all_pairs = few.withColumnRenamed("key", "a").join(few.withColumnRenamed("key", "b"), bucket).where("a < b").select("a", "b")
+    few = sized.where(F.col("n") <= BUCKET)
+    side = lambda x: few.select(*bucket, F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in CARRIED))
+    all_pairs = side("a").join(side("b"), bucket).where("a < b").where(may_be_alike(similarity)).select("a", "b")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     spread = (
         sized.where(F.col("n") > BUCKET).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "shape", "tokens", "nodes")
+        .select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", *CARRIED)
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = (pdf[pdf.own == pdf[x]].sort_values("key") for x in ("i", "j"))
         same = pdf.i.iloc[0] == pdf.j.iloc[0]
         keys, sizes, shapes = right.key.to_numpy(), right[["tokens", "nodes"]].to_numpy(), right["shape"].to_numpy()
+        stacked = lambda side, c: (np.array([len(x) > 0 for x in side[c]], dtype=bool), np.array([list(x) if len(x) else [0] * WIDTHS[c] for x in side[c]], dtype=np.int32).reshape(len(side), WIDTHS[c]))
+        (kinds_l, words_l), (kinds_r, words_r) = ((stacked(s, "kinds"), stacked(s, "words")) for s in (left, right))
         out = []
         for k, (key, shape, size) in enumerate(zip(left.key, left["shape"], left[["tokens", "nodes"]].to_numpy())):
             near = (np.minimum(sizes, size) >= similarity * np.maximum(sizes, size)).all(axis=1) & (shapes != shape)
             if same:
                 near[: k + 1] = False
-            out += [(min(key, x), max(key, x)) for x in keys[near]]
+            at = np.flatnonzero(near)
+            if kinds_l[0][k] and len(at):
+                common = np.minimum(kinds_r[1][at], kinds_l[1][k]).sum(axis=1)
+                at = at[~kinds_r[0][at] | (2 * common >= similarity * (sizes[at, 1] + size[1]) - 1e-9)]
+            if words_l[0][k] and len(at):
+                largest = np.maximum(sizes[at, 1], size[1])
+                common = np.minimum(words_r[1][at], words_l[1][k]).sum(axis=1)
+                at = at[~words_r[0][at] | (largest - common <= np.floor((1 - similarity) * largest + 1e-9))]
+            out += [(min(key, x), max(key, x)) for x in keys[at]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="str" if not out else None)
 
     many = spread.groupBy(*bucket, "i", "j").applyInPandas(compare, "a string, b string")
@@ -163,25 +195,34 @@ def lsh_pairs(fragments: DataFrame, similarity: float = 0.0) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, fragments: DataFrame, similarity: float) -> DataFrame:
-    """``a``, ``b``, ``similarity``, ``edit`` of the pairs that are alike enough; the cheap tests come first."""
-    cols = ("shape", "tokens", "nodes", "bag", "sig", "labels", "lefts")
-    side = lambda x: fragments.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("shape_a <> shape_b")
+    """``a``, ``b``, ``similarity``, ``edit`` of the pairs that are alike enough; the cheap tests come first (C22), and trees are
+    only fetched for pairs that passed them."""
+
+    def with_sides(df: DataFrame, *cols: str) -> DataFrame:
+        for x in ("a", "b"):
+            df = df.join(fragments.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols)), x)
+        return df
+
+    both = with_sides(pairs, "shape", "tokens", "nodes", "bag", "marks").where("shape_a <> shape_b")
     near = lambda c: F.least(f"{c}_a", f"{c}_b") >= similarity * F.greatest(f"{c}_a", f"{c}_b")
     both = both.where(near("tokens") & near("nodes")).withColumn("dice", dice_sets("bag_a", "bag_b")).where(F.col("dice") >= similarity)
     small = (F.col("nodes_a") <= units.EDIT_NODES) & (F.col("nodes_b") <= units.EDIT_NODES)
-    large = both.where(~small).withColumn("j", estimated_jaccard("sig_a", "sig_b")).where(F.col("j") >= similarity).select("a", "b", F.least("dice", "j").alias("similarity"), F.lit(False).alias("edit"))
+    most = F.floor((1 - similarity) * F.greatest("nodes_a", "nodes_b") + 1e-9)
+    close = F.greatest("nodes_a", "nodes_b") - F.size(F.array_intersect("marks_a", "marks_b")) <= most
+    left = durable(both.where(~small | close).select("a", "b", "dice", small.alias("small")))
+    large = with_sides(left.where("not small"), "sig").withColumn("j", estimated_jaccard("sig_a", "sig_b")).where(F.col("j") >= similarity).select("a", "b", F.least("dice", "j").alias("similarity"), F.lit(False).alias("edit"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = zip(pdf.labels_a, pdf.lefts_a, pdf.labels_b, pdf.lefts_b)
-            pdf["similarity"] = np.array([tree_similarity((list(a), list(x)), (list(b), list(y)), similarity) for a, x, b, y in rows], dtype=float)
+            pdf["similarity"] = np.array([tree_similarity((a.tolist(), x.tolist()), (b.tolist(), y.tolist()), similarity) for a, x, b, y in rows], dtype=float)
             yield pdf.loc[pdf.similarity >= similarity, ["a", "b", "similarity"]]
 
     # A given number of partitions, as small rows with costly work must not be put together again; and a map, as a filter on
     # a function's result would be pushed below the exchange.
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = both.where(small).select("a", "b", "labels_a", "lefts_a", "labels_b", "lefts_b").repartition(parts, "a", "b").mapInPandas(compare, "a string, b string, similarity double")
+    trees = with_sides(left.where("small").select("a", "b"), "labels", "lefts")
+    compared = trees.repartition(parts, "a", "b").mapInPandas(compare, "a string, b string, similarity double")
     return large.unionByName(compared.withColumn("edit", F.lit(True)))
 
 

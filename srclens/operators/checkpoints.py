@@ -34,3 +34,10 @@ def once(df: DataFrame, key: str) -> DataFrame:
     """One row for each key, where few have more: the rest isn't shuffled. The keys that repeat are counted first, by themselves."""
     again = small(durable(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)))
     return df.join(again, key, "left_anti").unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that costly work follows, spread over all cores where its files have too few parts for them; a scan of many parts
+    isn't shuffled. For scans only: what has a shuffle below it would run for being asked how many parts it has."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan

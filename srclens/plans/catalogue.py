@@ -15,7 +15,7 @@ from srclens.functions.similarity import dice_pairs
 from srclens.functions.text import matches
 from srclens.operators import dead_code, metrics, rust_files
 from srclens.operators import lines as L
-from srclens.operators.checkpoints import durable, once
+from srclens.operators.checkpoints import durable, once, spread
 from srclens.operators.components import connected_components
 from srclens.plans.base import BLANKS, DIRECTORY, FILES, LANGUAGE, LINES, NAME, SYMBOLS, files, query, table
 
@@ -241,7 +241,7 @@ def dice_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- Rust by its own parser: nothing in SQL says the same
 def _rust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "source_files").select("file_id", "repo", "relative_path", "text", "is_test_path").where(F.col("relative_path").endswith(".rs") & F.col("text").isNotNull())
+    return spread(table(spark, sf_dir, "source_files").select("file_id", "repo", "relative_path", "text", "is_test_path").where(F.col("relative_path").endswith(".rs") & F.col("text").isNotNull()))
 
 
 @query()

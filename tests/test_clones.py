@@ -113,7 +113,7 @@ def test_long_lists(spark):
 
 
 def test_large_buckets(spark):
-    pairs = detect.lsh_pairs(spark.createDataFrame([(f"k{n:02}", "function", n, 100, 200, [7]) for n in range(40)], "key string, fragment string, shape bigint, tokens bigint, nodes bigint, bands array<bigint>"))
+    pairs = detect.lsh_pairs(spark.createDataFrame([(f"k{n:02}", "function", n, 100, 200, [7], [], []) for n in range(40)], "key string, fragment string, shape bigint, tokens bigint, nodes bigint, bands array<bigint>, kinds array<smallint>, words array<smallint>"))
     assert pairs.count() == 40 * 39 // 2
     sources = {f"a{n:02}.rs": fn("near", *TEN) for n in range(34)} | {f"b{n}.rs": fn("near", *TEN[:5], "extra();", *TEN[5:]) for n in range(2)}
     df = spark.createDataFrame([(p, t, False, True) for p, t in sources.items()], "path string, text string, is_test_path boolean, editable boolean")
