@@ -1,8 +1,10 @@
 """Source files that do not parse (problem 2).
 
-Every file's text is judged once, in one map over the scan: no shuffle moves a text. Brackets are summarised bottom-up and
-each balanced group is parsed by a local grammar whose verdicts are remembered (``srclens.rust.grammar``); JavaScript has a
-parser of its own, JSON, TOML and Python those of the standard library.
+Every file's text is judged once, in one map over the scan: no shuffle moves a text. Its chunks become maps of lexer states
+with bracket summaries, which are reduced associatively (``lexer_states``): what doesn't end, or isn't balanced, is invalid.
+What is balanced goes to grammars: Rust's are local, each bracketed group being parsed once for each shape it has and its
+verdict remembered (``srclens.rust.grammar``); JavaScript, where the lexer needs all brackets before a slash, has a parser of
+its own, JSON, TOML and Python those of the standard library.
 
 Cases: a null text is no file to judge and gives no row; an empty text is a valid rs, py, js or toml file and an invalid
 json file; repeated rows of a file count once; an extension is the part of the path after its last dot, in lower case;
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srclens.functions.deep import deep
-from srclens.llm import ecmascript
+from srclens.llm import ecmascript, lexer_states
 from srclens.rust import grammar, lexer
 from srclens.rust.measure import failure_line
 
@@ -145,6 +147,8 @@ def _token_line(text: str | None, at: int) -> int:
 
 def check(ext: str, text: str) -> tuple[int, str] | None:
     """Line (0: not known) and message of what makes a text invalid; None if it parses."""
+    if ext in lexer_states.LANGUAGES and (at := lexer_states.open_or_unbalanced(ext, text)) >= 0:
+        return _line(text.rstrip(), at), "string, comment or bracket without its other end"
     if ext == "rs":
         return check_rust(lexer.tokens(text), text)
     if ext == "py":

@@ -2,7 +2,7 @@
 
 import pytest
 
-from srclens.llm import code_origin, doc_pairs, ecmascript, source_syntax
+from srclens.llm import code_origin, doc_pairs, ecmascript, lexer_states, source_syntax
 from tests.conftest import rows
 
 FILES = "file_id bigint, repo string, relative_path string, text string, ext string, line int, origin string"
@@ -48,6 +48,39 @@ def test_deep_and_long_texts_are_judged():
     assert source_syntax.check("py", "x = 1\0\n")
 
 
+STATES = {
+    "rs": [
+        """fn f() { "a\n}\n" }\n/* x\n /* { */\n } */ fn g() {\n r##"\n"# }"##; '{'; b'"'; 'a: loop {}\n}\n""",
+        'fn f() {\n "a\n}\n', "/* a\n/* b\n*/ fn f() {}", 'r#"\n"\nfn f() {}', "fn f() {\n)\n}",
+    ],
+    "py": [
+        '''x = """\n(\n""" + 'a\\\n('\ny = f"{x['a']:{w}}{{" + f\'\'\'{\n[1, f"{2}"]\n}\'\'\'\n# (\nz = (1,\n 2)\nf"\\N{EM DASH}{x!r:>{y}}"\n''',
+        "x = '''\n", "y = (\n1\n", "z = 'a\n'", 'f"{a"\n', "a = ]\n",
+    ],
+    "toml": ["""a = [\n1, # ]\n'''\n['''\n]\nb = \"\"\"\n]\n\"\"\"\nc = 'a\\'\n""", 'a = """\n', "a = [\n", "a = 'b\n"],
+    "json": ['{"a": [\n"]", "\\"["\n]}\n', '{"a\n": 1}', "[\n{]\n"],
+}
+
+
+@pytest.mark.parametrize("ext", STATES)
+def test_lexer_states(ext):
+    """However a text is cut and its chunks are put together, the result is that of the whole."""
+    good, *bad = STATES[ext]
+    assert source_syntax.check(ext, good) is None and lexer_states.open_or_unbalanced(ext, good) < 0
+    assert all(lexer_states.open_or_unbalanced(ext, text) >= 0 for text in bad)
+    for text in STATES[ext]:
+        whole = lexer_states.reduced(ext, [text])
+        for size in range(1, len(text) + 1):
+            parts = list(lexer_states.chunks(text, size))
+            assert "".join(parts) == text
+            maps = [lexer_states.StateMap(lambda state, part=part: lexer_states.lex(ext, part, state)) for part in parts]
+            right = maps[-1]
+            for m in reversed(maps[:-1]):
+                right = m.then(right)
+            for got in (lexer_states.reduced(ext, parts), right(())):
+                assert (got.bad >= 0) == (whole.bad >= 0) and (whole.bad >= 0 or got == whole)
+
+
 DEEP = 10_000
 
 
