@@ -256,14 +256,15 @@ def near_misses(fragments: DataFrame, similarity: float) -> DataFrame:
     """
     keyed = fragments.withColumn("key", F.concat_ws("\x00", "path", F.lpad(F.col("node").cast("string"), 9, "0")))
     alike = keyed.groupBy("fragment", "shape", "sequence").agg(F.min("key").alias("rep"))
-    keyed = durable(keyed.join(alike, ["fragment", "shape", "sequence"]))
-    reps = keyed.where("key = rep")
+    # what all fragments need from here on is narrow; what is compared stays where it is and is read for representatives
+    placed = durable(keyed.select("key", "fragment", "shape", "sequence", "start_line", "end_line", "path", (F.size("bands") > 0).alias("banded"), _unit()).join(alike, ["fragment", "shape", "sequence"]))
+    reps = keyed.join(placed.where("key = rep").select("key"), "key", "left_semi")
     # both branches of the confirmation read the pairs
     alike_enough = durable(confirm(durable(lsh_pairs(reps, similarity)), reps, similarity))
-    sure = durable(links(alike_enough, keyed.where(F.size("bands") > 0).select("key", "rep", "path", "start_line", "end_line")))
+    sure = durable(links(alike_enough, placed.where("banded").select("key", "rep", "path", "start_line", "end_line")))
     parts = connected_components(sure, "a", "b")
     least = sure.join(parts.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.min("similarity").alias("similarity"), F.bool_or("edit").alias("edit"))
-    rows = parts.withColumnRenamed("id", "key").join(keyed.select("key", "fragment", "shape", _unit()), "key")
+    rows = parts.withColumnRenamed("id", "key").join(placed.select("key", "fragment", "shape", "unit"), "key")
     grouped = rows.groupBy("component", "fragment").agg(F.array_sort(F.collect_list("unit")).alias("units"), F.min("shape").alias("shape"))
     return grouped.join(least, "component").select(
         "fragment", "shape", "units", F.lit("near_miss").alias("kind"), F.lit(False).alias("reordered"), "similarity",
