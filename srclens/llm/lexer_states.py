@@ -22,10 +22,10 @@ CHUNK = 64_000  # characters of a chunk, up to the end of the line
 State = tuple[tuple, ...]
 _PARTNER = {")": "(", "]": "[", "}": "{"}
 _CODE = {
-    "json": re.compile(r'"(?:[^"\\\n]|\\.)*"|(?P<bad>")|(?P<k>[()\[\]{}])'),
-    "toml": re.compile(r"""\#[^\n]*|(?P<open>\"{3}|'{3})|"(?:[^"\\\n]|\\[^\n])*"|'[^'\n]*'|(?P<bad>["'])|(?P<k>[()\[\]{}])"""),
-    "rs": re.compile(r"""//[^\n]*|(?P<block>/\*)|(?<!\w)[bc]?r(?P<raw>\#*)"|(?P<open>")|b?'(?:[^'\\\n]|\\(?:u\{[^}'\n]*\}|x[0-9a-fA-F]{2}|[^\n]))'|(?P<k>[()\[\]{}])"""),
-    "py": re.compile(r"""\#[^\n]*|(?:(?<!\w)(?P<pre>[rRbBuUfF]{1,2}))?(?P<open>\"{3}|'{3}|"|')|(?P<k>[()\[\]{}])|(?P<colon>:)"""),
+    "json": re.compile(r'"(?:[^"\\\n]|\\.)*"|(?P<bad>")|\(\)|\[\]|\{\}|(?P<k>[()\[\]{}])'),
+    "toml": re.compile(r"""\#[^\n]*|(?P<open>\"{3}|'{3})|"(?:[^"\\\n]|\\[^\n])*"|'[^'\n]*'|(?P<bad>["'])|\(\)|\[\]|\{\}|(?P<k>[()\[\]{}])"""),
+    "rs": re.compile(r"""//[^\n]*|(?P<block>/\*)|(?<!\w)[bc]?r(?P<raw>\#*)"|"(?:[^"\\\n]|\\[^\n])*"|(?P<open>")|b?'(?:[^'\\\n]|\\(?:u\{[^}'\n]*\}|x[0-9a-fA-F]{2}|[^\n]))'|\(\)|\[\]|\{\}|(?P<k>[()\[\]{}])"""),
+    "py": re.compile(r"""\#[^\n]*|(?<!\w)[bBuUrR]{0,2}(?:"(?!"")(?:[^"\\\n]|\\[^\n])*"|'(?!'')(?:[^'\\\n]|\\[^\n])*')|(?:(?<!\w)(?P<pre>[rRbBuUfF]{1,2}))?(?P<open>\"{3}|'{3}|"|')|\(\)|\[\]|\{\}|(?P<k>[()\[\]{}])|(?P<colon>:)"""),
 }
 LANGUAGES = tuple(_CODE)
 _BLOCK = re.compile(r"/\*|\*/")
@@ -108,6 +108,21 @@ def _closing(kind: str, quote: str) -> re.Pattern[str]:
 _FORMATTED = re.compile(r"""\\N\{[^}\n]*\}|\\[^{}]|\{\{|\}\}|[{}\n]|\"{3}|'{3}|"|'""", re.S)
 
 
+def _opened(language: str, m: re.Match[str]) -> tuple:
+    """The frame that begins where code was left."""
+    group = m.lastgroup
+    if group == "block":
+        return "b", 1
+    if group == "raw":
+        return "r", '"' + m.group("raw")
+    quote = m.group("open")
+    if language == "rs":
+        return "m", quote
+    if language == "py":
+        return "f" if "f" in (m.group("pre") or "").lower() else "s", quote
+    return "r" if quote[0] == "'" else "s", quote
+
+
 def lex(language: str, text: str, state: State) -> Result:
     """What a chunk does from a state on: one pass over what matters in it."""
     stack = list(state)
@@ -158,45 +173,43 @@ def lex(language: str, text: str, state: State) -> Result:
             elif found == "\n" and len(quote) == 1:
                 return done(m.start())
         else:
-            m = _CODE[language].search(text, at)
-            if m is None:
-                break
-            at = m.end()
-            group = m.groupdict()
-            if group.get("bad"):
-                return done(m.start())
-            if group.get("block"):
-                stack.append(("b", 1))
-            elif group.get("raw") is not None:
-                stack.append(("r", '"' + group["raw"]))
-            elif quote := group.get("open"):
-                pre = (group.get("pre") or "").lower()
-                if language == "rs":
-                    stack.append(("m", quote))
-                elif "f" in pre:
-                    stack.append(("f", quote))
-                else:
-                    stack.append(("r" if language == "toml" and quote[0] == "'" else "s", quote))
-            elif bracket := group.get("k"):
-                if kind == "e":
-                    depth = frame[1]
-                    if bracket in "([{":
-                        stack[-1] = ("e", depth + 1)
-                    elif depth:
-                        stack[-1] = ("e", depth - 1)
-                    elif bracket == "}":
-                        stack.pop()
+            # until something else than code begins
+            for m in _CODE[language].finditer(text, at):
+                group = m.lastgroup
+                if group is None:
+                    continue
+                if group == "k":
+                    bracket = m.group()
+                    if kind == "e":
+                        depth = stack[-1][1]
+                        if bracket in "([{":
+                            stack[-1] = ("e", depth + 1)
+                        elif depth:
+                            stack[-1] = ("e", depth - 1)
+                        elif bracket == "}":
+                            stack.pop()
+                            break
+                        else:
+                            return done(m.start())
+                    elif bracket in "([{":
+                        openers.append(bracket)
+                    elif openers:
+                        if openers.pop() != _PARTNER[bracket]:
+                            return done(m.start())
                     else:
-                        return done(m.start())
-                elif bracket in "([{":
-                    openers.append(bracket)
-                elif openers:
-                    if openers.pop() != _PARTNER[bracket]:
-                        return done(m.start())
+                        closers.append(bracket)
+                elif group == "bad":
+                    return done(m.start())
+                elif group == "colon":
+                    if kind == "e" and not stack[-1][1]:
+                        stack.append(("p", next(f[1] for f in reversed(stack) if f[0] == "f")))
+                        break
                 else:
-                    closers.append(bracket)
-            elif group.get("colon") and kind == "e" and not frame[1]:
-                stack.append(("p", next(f[1] for f in reversed(stack) if f[0] == "f")))
+                    stack.append(_opened(language, m))
+                    break
+            else:
+                break
+            at = m.end()
     return done(-1)
 
 
