@@ -1,7 +1,8 @@
 """Queries over small inputs that are planted in them, with the rows that must come out as their SQL.
 
 For operators that SQL can't restate and whose answers on the tables nobody knows: parsing, module trees, clone layers,
-sketches, ignore rules and settings. The expected rows were written down by hand from the definitions.
+sketches, ignore rules and settings. The README says which expected rows were written before a run, and which were read off
+the operators and gone through against the definitions.
 """
 
 from __future__ import annotations
