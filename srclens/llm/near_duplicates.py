@@ -10,6 +10,9 @@ Buckets of the index that hold many representatives are never expanded into pair
 members to its smallest one; members that this puts into one component need no further comparison, and only the rest of a
 bucket is compared, in blocks, each of them one vectorised comparison.
 
+Joins of tables that both grow with the records are merge joins by hint: Catalyst estimates an array as one element, so it
+takes the exploded or sketched records for some hundred times less than they are and would broadcast them through the driver.
+
 Cases: null or token-less code, a null fragment or one without limits, and null ids have no links and give no row; repeated
 rows of an id count once; records with equal tokens are linked (similarity 1); ties in a group go to the smallest id;
 further columns are ignored.
@@ -114,6 +117,11 @@ def _prune(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "a bigint, b bigint")
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the records: the join shuffles it, whatever size it is taken for."""
+    return df.hint("merge")
+
+
 def representatives(records: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row for each multiset of tokens: ``rep``, ``fragment``, ``els``, ``size``, ``t``; and which record has which (``id``, ``rep``)."""
     limit = small(limits.where("fragment is not null and similarity is not null").groupBy("fragment").agg(F.min("similarity").alias("t")))
@@ -126,7 +134,7 @@ def representatives(records: DataFrame, limits: DataFrame) -> tuple[DataFrame, D
     )
     groups = rows.groupBy("fragment", "content").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens"))
     reps = groups.join(limit, "fragment").select("rep", "fragment", elements(F.col("tokens")).alias("els"), F.size("tokens").alias("size"), "t")
-    members = rows.select("id", "fragment", "content").distinct().join(groups.select("fragment", "content", "rep"), ["fragment", "content"]).join(limit.select("fragment"), "fragment", "left_semi").select("id", "rep")
+    members = rows.select("id", "fragment", "content").distinct().join(_merged(groups.select("fragment", "content", "rep")), ["fragment", "content"]).join(limit.select("fragment"), "fragment", "left_semi").select("id", "rep")
     return reps, members
 
 
@@ -135,10 +143,10 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     els = reps.select("rep", F.explode("els").alias("el"))  # the widest table of all: nothing else travels with it
     frequency = els.groupBy("el").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     # Elements that only one representative has come first in the order and pair it with nobody: they count, but have no bucket.
-    ranked = els.join(frequency, "el").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "el"))).alias("shared"))
+    ranked = els.join(_merged(frequency), "el").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "el"))).alias("shared"))
     least = F.ceil(F.col("size") * F.col("t") / (2 - F.col("t")) - F.lit(1e-9))
     taken = F.greatest(F.col("size") - least + 1 - (F.col("size") - F.size("shared")), F.lit(0)).cast("int")
-    placed = ranked.join(reps.select("rep", "fragment", "size", "t"), "rep")
+    placed = ranked.join(_merged(reps.select("rep", "fragment", "size", "t")), "rep")
     return placed.select("rep", "size", "t", "fragment", F.explode(F.slice("shared", F.lit(1), taken)).alias("e")).select(
         F.xxhash64("fragment", "e.el").alias("bucket"), "rep", "size", "t"
     )
@@ -146,7 +154,7 @@ def _prefixes(reps: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs that are alike enough, by their elements."""
-    of = reps.select("rep", "els", "size", "t", "fragment")
+    of = _merged(reps.select("rep", "els", "size", "t", "fragment"))
     return (
         pairs.join(of.select(F.col("rep").alias("a"), F.col("els").alias("els_a"), F.col("size").alias("size_a"), "t", F.col("fragment").alias("f_a")), "a")
         .join(of.select(F.col("rep").alias("b"), F.col("els").alias("els_b"), F.col("size").alias("size_b"), F.col("fragment").alias("f_b")), "b")
@@ -168,7 +176,7 @@ def links(reps: DataFrame) -> DataFrame:
         )
     )
     buckets = durable(_prefixes(sketched))
-    sketch = sketched.select("rep", "sketch")
+    sketch = _merged(sketched.select("rep", "sketch"))
 
     def pruned(pairs: DataFrame) -> DataFrame:
         with_both = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(
@@ -180,18 +188,18 @@ def links(reps: DataFrame) -> DataFrame:
     low_size = F.col("t") / (2 - F.col("t")) - 1e-9
     near = (F.col("size_a") >= low_size * F.col("size_b")) & (F.col("size_b") >= low_size * F.col("size_a"))
     heads = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("h"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("h.rep").alias("a"), F.col("h.size").alias("size_a"))
-    stars = buckets.withColumnRenamed("size", "size_b").join(heads, "bucket").where("rep <> a").where(near).select("a", F.col("rep").alias("b"), "t").distinct()
+    stars = buckets.withColumnRenamed("size", "size_b").join(_merged(heads), "bucket").where("rep <> a").where(near).select("a", F.col("rep").alias("b"), "t").distinct()
     first = durable(pruned(stars))
     label = connected_components(first, "a", "b").select(F.col("id").alias("rep"), "component")
     # Then only what is still apart. A bucket all of whose members are in one component is done.
-    placed = durable(buckets.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    placed = durable(buckets.join(_merged(label), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("bucket", "n")
-    rest = placed.join(open_, "bucket")
+    rest = placed.join(_merged(open_), "bucket")
     small = rest.where(F.col("n") <= BLOCK)
     left = small.select("bucket", F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"), "t")
     right = small.select("bucket", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
     pairs = (
-        left.join(right, "bucket")
+        left.join(_merged(right), "bucket")
         .where("a < b and component_a <> component_b")
         .where(near)
         .select("a", "b", "t")
@@ -245,6 +253,6 @@ def groups(records: DataFrame, limits: DataFrame) -> DataFrame:
     reps, members = representatives(records, limits)
     members = durable(members)
     found = connected_components(links(reps), "a", "b")
-    placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(_merged(found.withColumnRenamed("id", "rep")), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("group_id")).where("n > 1")
-    return placed.join(sizes, "component").select(F.col("id").alias("candidate_id"), "group_id")
+    return placed.join(_merged(sizes), "component").select(F.col("id").alias("candidate_id"), "group_id")

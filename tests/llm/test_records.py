@@ -57,6 +57,25 @@ def test_groups_against_brute_force(spark, monkeypatch):
     assert near_duplicates.groups(df.limit(0), limits).count() == 0 and near_duplicates.groups(df, limits.limit(0)).count() == 0
 
 
+def test_tables_that_grow_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Long records in small files: the estimates of their exploded tokens stay far below the default threshold of broadcasts."""
+    code = [" ".join(f"w{(7 * i + 3 * n) % 997}" for n in range(300)) for i in range(40)] + [" ".join(f"w{n}" for n in range(300 - i)) for i in range(4)]
+    spark.createDataFrame(list(enumerate(code)), "candidate_id bigint, code string").selectExpr("*", "'function' as fragment").write.parquet(f"{tmp_path}/records")
+    plans = []
+    keep = near_duplicates.durable
+
+    def durable(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(near_duplicates, "durable", durable)
+    monkeypatch.setattr(near_duplicates, "small", lambda df: df.hint("merge"))  # the limits are the one table that may be broadcast
+    got = near_duplicates.groups(spark.read.parquet(f"{tmp_path}/records"), spark.createDataFrame([("function", 0.85)], "fragment string, similarity double"))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert {40, 41, 42, 43} <= {i for i, _ in rows(got, "candidate_id", "group_id")}
+    assert len(plans) == 6 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_fewest_matches_grows():
     needed = near_duplicates.fewest_matches(0.74)
     assert needed[0] == 0 and list(needed) == sorted(needed) and needed[128] < 128 * 0.74
