@@ -118,6 +118,7 @@ def test_failures_over_tables(spark):
     assert source_syntax.failures(df.limit(0)).count() == 0
 
 
+SAYS = '"""Says something about what the caller may expect."""'
 RUST = '''
 /// Takes the first record and hands it over to nobody.
 #[inline]
@@ -188,6 +189,21 @@ def test_documented_functions(spark):
     assert {r.qualified_name: r.kind for r in doc_pairs.guided(df, index).where("file_id = 1").collect()}["documented"] == "function_item"
 
 
+def test_python_functions_of_a_file_too_deep_for_a_tree():
+    text = f"class A:\n    def f(self):\n        {SAYS}\nx = {'+'.join(['1'] * 20_000)}\ndef g(): {SAYS}\n"
+    assert [q for _, q, _ in doc_pairs.functions("py", text)] == ["A::f", "g"]
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ('def f() -> lambda x: {1: 2}: "a" "b"; pass', [("f", "ab")]), ('class A:\n  def f(self): ("c"\n "d")\n  if x:\n    def g(self):\n\n      # e\n      u"e"', [("A::f", "cd"), ("g", "e")]),
+    ('def f():\n  f"a"', []), ('def f():\n  b"a"', []), ('def f():\n  "a".x', []), ('def f():\n  ("a",)', []), ('def f():\n  "a" f"b"', []), ('def f():\n  "a" + "b"', []), ('def f():\n  "a" \\\n  "b"\n', [("f", "ab")]),
+    ('x = f"{a["k"]:{w}} {{def}} {f\'{b!r:>{n}}\'}"\ndef g():\n  r"\\d"', [("g", "\\d")]), ('y = 1 if"a"else"b"\nclass A[T: (int, str)](B):\n\tasync def \\\n m(self, x=lambda: {":"}) -> "T":\n\t\t"d"', [("A::m", "d")]),
+    ('def f():\r\n  """a\r\nb"""\r\n  return "x"\rdef g(): "c"\r', [("f", "a\nb"), ("g", "c")]), ('x = """\ndef f():\n  "a"\n"""  # def g(): "a"', []), ('\x0cdef \ufb01():\n  \x0c "a"', [("fi", "a")]), ("", []),
+])
+def test_python_functions(text, found):
+    assert [(q, d) for _, q, d in doc_pairs.functions("py", text)] == found
+
+
 @pytest.mark.parametrize(("name", "doc", "ok"), [
     ("f", "one two three four five", True), ("f", "one two three four", False), ("read_all", "The read ALL function now is one two", False), ("f", "one_two_three_four_five", True), ("f", "", False),
     ("f", "@param count\nThe number of\n@param a is b", True), ("f", "@param count\n@param a", False),
