@@ -141,5 +141,5 @@ def bucket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("symbol_id").cast("string")
     alone = F.xxhash64("symbol_id")
     bands = F.array(F.when(F.col("tokens") % 2 == 0, F.col("tokens")).otherwise(alone), F.when(F.col("start_line") % 3 == 0, F.col("start_line")).otherwise(alone))
-    rows = s.select(key.alias("key"), F.col("kind").alias("fragment"), F.col("symbol_id").alias("shape"), "tokens", F.col("tokens").alias("nodes"), F.array().cast("array<smallint>").alias("kinds"), F.array().cast("array<smallint>").alias("words"), bands.alias("bands"))
-    return detect.lsh_pairs(rows)
+    rows = s.select(key.alias("key"), F.col("kind").alias("fragment"), F.col("symbol_id").alias("shape"), bands.alias("bands"))
+    return detect.lsh_pairs(rows, bands=2)

@@ -121,6 +121,19 @@ def test_large_buckets(spark):
     assert sorted(u.path for u in group.units) == sorted(sources) and 0.85 <= group.similarity < 1
 
 
+def test_pairs_come_once(spark, monkeypatch):
+    for name, size in (("BUCKET", 3), ("BLOCK", 4), ("PLAIN_BLOCK", 4)):
+        monkeypatch.setattr(detect, name, size)
+    bands = [[k % 3, k % 5 + 7, k] if k % 4 else [0, 0, 0] for k in range(30)]
+    schema = "key string, fragment string, shape bigint, tokens bigint, nodes bigint, bands array<bigint>, kinds array<smallint>, words array<smallint>"
+    df = spark.createDataFrame([(f"k{k:02}", "function", k % 29, 100, 200, b, [], []) for k, b in enumerate(bands)], schema)
+    want = [(f"k{a:02}", f"k{b:02}") for a in range(30) for b in range(a + 1, 30) if a % 29 != b % 29 and any(x == y for x, y in zip(bands[a], bands[b]))]
+    for similarity in (0.0, 0.5):
+        assert sorted((r.a, r.b) for r in detect.lsh_pairs(df, similarity).collect()) == want
+    plan = detect.lsh_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a#" not in plan and "InPandas" not in plan
+
+
 def test_nested_members(spark):
     members = spark.createDataFrame([("x1", "x", "f", 1, 20), ("y1", "y", "f", 2, 19), ("x2", "x", "g", 1, 20), ("y2", "y", "g", 2, 19)], "key string, rep string, path string, start_line bigint, end_line bigint")
     sure = spark.createDataFrame([("x", "y", 0.9, True)], "a string, b string, similarity double, edit boolean")
