@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srclens.clones import detect
-from srclens.clones.units import Flat, bands, extend, fragments, runs, signature, symbols
+from srclens.clones.units import Flat, bands, extend, fragments, histogram, packed, runs, signature, symbols, unpacked
 from srclens.config import Clones, Thresholds
 from srclens.functions.labels import LANGUAGES, label
 
@@ -122,18 +122,30 @@ def test_large_buckets(spark):
 
 
 def test_pairs_come_once(spark, monkeypatch):
-    for name, size in (("BUCKET", 3), ("BLOCK", 4), ("PLAIN_BLOCK", 4)):
-        monkeypatch.setattr(detect, name, size)
+    for name in ("BLOCK", "PLAIN_BLOCK"):
+        monkeypatch.setattr(detect, name, 4)
     bands = [[k % 3, k % 5 + 7, k] if k % 4 else [0, 0, 0] for k in range(30)]
-    schema = "key string, fragment string, shape bigint, tokens bigint, nodes bigint, bands array<bigint>, kinds array<smallint>, words array<smallint>"
-    df = spark.createDataFrame([(f"k{k:02}", "function", k % 29, 100, 200, b, [], []) for k, b in enumerate(bands)], schema)
+    schema = "key string, fragment string, shape bigint, tokens bigint, nodes bigint, tree binary, sig array<bigint>, bands array<bigint>, kinds array<int>, words array<int>"
+    df = spark.createDataFrame([(f"k{k:02}", "function", k % 29, 100, 600, packed([], [], [7] * 600), [1, 2], b, [], []) for k, b in enumerate(bands)], schema)
     want = [(f"k{a:02}", f"k{b:02}") for a in range(30) for b in range(a + 1, 30) if a % 29 != b % 29 and any(x == y for x, y in zip(bands[a], bands[b]))]
-    for similarity in (0.0, 0.5):
-        assert sorted((r.a, r.b) for r in detect.lsh_pairs(df, similarity).collect()) == want
+    for found in (detect.lsh_pairs(df), detect.alike_pairs(df, 0.5)):
+        assert sorted((r.a, r.b) for r in found.collect()) == want
     plan = detect.lsh_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [a#" not in plan and "InPandas" not in plan
 
 
+def test_alike_pairs_move_no_pairs(spark):
+    trees = [[1, 2, 3, 4, 5, 6, 7, 8, 9, n] for n in (10, 11, 12)] + [[21, 22, 23, 24, 25, 26, 27, 28, 29, 30]]
+    for labels in trees:
+        assert unpacked(packed(labels, list(range(10)), [2**63 + 5, 3, 3])) == (labels, list(range(10)), {2**63 + 5: 1, 3: 2})
+    schema = "key string, fragment string, shape bigint, tokens bigint, nodes bigint, tree binary, sig array<bigint>, bands array<bigint>, kinds array<int>, words array<int>"
+    df = spark.createDataFrame([(f"k{k}", "function", k, 30, 10, packed(t, list(range(10)), [3] * 10), [], [5, 6], histogram([3] * 10), histogram(t)) for k, t in enumerate(trees)], schema)
+    found = detect.alike_pairs(df, 0.85)
+    assert sorted(found.collect()) == [("k0", "k1", 0.9, True), ("k0", "k2", 0.9, True), ("k1", "k2", 0.9, True)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan.split("MapInArrow")[0] and "Join" not in plan.split("MapInArrow")[0]
+
+
 def test_nested_members(spark):
     members = spark.createDataFrame([("x1", "x", "f", 1, 20), ("y1", "y", "f", 2, 19), ("x2", "x", "g", 1, 20), ("y2", "y", "g", 2, 19)], "key string, rep string, path string, start_line bigint, end_line bigint")
     sure = spark.createDataFrame([("x", "y", 0.9, True)], "a string, b string, similarity double, edit boolean")
